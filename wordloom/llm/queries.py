@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import byte_bpe, chat_format, decontaminate, language_id, license_scan, token_archive, toxicity, warc
+from wordloom.llm import byte_bpe, chat_format, decontaminate, jaccard_join, language_id, license_scan, token_archive, toxicity, warc
 from wordloom.llm.shared import fold_of
 
 END_ID = 2
@@ -58,6 +58,11 @@ def op9_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat_format.link_calls(chat_format.turns_as_calls(table(spark, folder, "conversations")), chat_format.REPLY_SCHEMA)
 
 
+def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Sets of four-word shingles, linked from a similarity of 0.85 on."""
+    return jaccard_join.join_components(table(spark, folder, "documents"), 4, 85, 100)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
