@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.llm.components import connected_components
-from wordloom.llm.shared import bounded_sample, map_batches, materialise, text_slices
+from wordloom.llm.shared import bounded_sample, filtered, id_filter, map_batches, materialise, text_slices
 
 #: Documents looked at for very frequent shingles, about, at most; a shingle in HOT_DOCS of them is one; at most MAX_HOT.
 SAMPLE_DOCS, HOT_DOCS, MAX_HOT = 4_096, 8, 1 << 16
@@ -43,8 +43,6 @@ EXTRA = 0.07
 GROUP, PIVOTS = 64, 8
 #: Bytes of (shingle, fingerprint) pairs that a task holds before it sends them on.
 FLUSH_BYTES = 64 << 20
-#: Bits of the filter of document ids by which texts are read again; its size is fixed, whatever the input.
-FILTER_BITS = 1 << 23
 SIGNATURE_WORDS, FANOUT = 16, 8
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -322,27 +320,7 @@ class Join:
 
     def texts_of(self, chosen: DataFrame) -> DataFrame:
         """Rows of the documents whose ids are the chosen vertices' ``rep``, and perhaps a few more: no shuffle of texts."""
-
-        def spots(column: str) -> list:
-            return [F.pmod(F.xxhash64(F.col(column), F.lit(seed)), F.lit(FILTER_BITS)) for seed in (1, 2)]
-
-        set_bits = chosen.select(F.explode(F.array(*spots("rep"))).alias("bit")).groupBy(F.shiftright("bit", 5).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 31 as int)))").alias("bits"))
-        table = np.zeros(FILTER_BITS // 32, np.int64)
-        for r in set_bits.collect():  # FILTER_BITS / 32 rows at most
-            table[r.word] = r.bits
-        held = self.spark.sparkContext.broadcast(table)
-
-        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                here = np.ones(batch.num_rows, bool)
-                for k in (2, 3):
-                    bit = batch.column(k).to_numpy()
-                    here &= (held.value[bit >> 5] >> (bit & 31)) & 1 == 1
-                if here.any():
-                    yield batch.select([0, 1]).filter(pa.array(here))
-
-        first, second = spots("id")
-        return self.rows.select("id", "text", first.alias("a"), second.alias("b")).mapInArrow(keep, "id long, text string")
+        return filtered(self.rows.select("id", "text"), "id", id_filter(chosen, "rep"), True)
 
     def keys(self, chosen: DataFrame) -> DataFrame:
         """``(token, fp)``: the rarest shingles of the vertices that can have a partner among the chosen ones."""
@@ -498,8 +476,15 @@ def join_components(docs: DataFrame, width: int, num: int, den: int, id_col: str
 
 
 def one_of_each(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of the smallest id of each component, and rows without an id; of rows with that id and one text, one stays."""
-    found = join_components(docs, width, num, den, id_col, text_col)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(keep, docs[id_col] == F.col("__keep"), "left_semi").dropDuplicates([id_col, text_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    """The rows of the smallest id of each component, and rows without an id; of rows with one id and text, one stays.
+
+    Only rows that go, or may have to, are shuffled.
+    """
+    found = materialise(join_components(docs, width, num, den, id_col, text_col), "join-found")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    twice = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__gone"))
+    known = id_filter(gone.union(twice), "__gone")
+    keyed = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(0)))
+    doubtful = filtered(keyed, "__id", known, True)
+    named = doubtful.where(F.col(id_col).isNotNull()).join(gone, F.col("__id") == F.col("__gone"), "left_anti").dropDuplicates([id_col, text_col])
+    return filtered(keyed, "__id", known, False).union(named).union(doubtful.where(F.col(id_col).isNull())).drop("__id")

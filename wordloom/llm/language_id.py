@@ -186,3 +186,17 @@ def predict(df: DataFrame, model: BackoffModel, text_col: str = "text", keep: tu
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     return map_batches(rows, "__text", f"{schema}, lang_pred string, score double", make)
+
+
+def with_language(docs: DataFrame, model: BackoffModel, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows whose language is determined with ``least`` or more, with all their columns."""
+    held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def make():
+        def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = held.value.predict_all(batch.column(at).to_pylist())
+            return batch.filter(pa.array([lang != UNDETERMINED and score >= least for lang, score in found], pa.bool_()))
+
+        return keep
+
+    return map_batches(docs, text_col, docs.schema, make)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,3 +70,36 @@ def map_batches(df: DataFrame, column: str, schema: str, make: Callable[[], Call
                 yield fn(piece)
 
     return df.mapInArrow(run, schema)
+
+
+#: Bits of an id filter; its size is fixed, whatever the input.
+FILTER_BITS = 1 << 23
+
+
+def _spots(column: str) -> list[Column]:
+    return [F.pmod(F.xxhash64(F.col(column), F.lit(seed)), F.lit(FILTER_BITS)) for seed in (1, 2)]
+
+
+def id_filter(ids: DataFrame, column: str):
+    """A broadcast bitmap (1 MB) that knows every id of ``ids``, and takes some others for known."""
+    bits = ids.select(F.explode(F.array(*_spots(column))).alias("bit")).groupBy(F.shiftright("bit", 5).alias("word"))
+    table = np.zeros(FILTER_BITS // 32, np.int64)
+    for r in bits.agg(F.expr("bit_or(shiftleft(1L, cast(bit & 31 as int)))").alias("bits")).collect():  # FILTER_BITS / 32 rows at most
+        table[r.word] = r.bits
+    return ids.sparkSession.sparkContext.broadcast(table)
+
+
+def filtered(df: DataFrame, column: str, known, inside: bool) -> DataFrame:
+    """Rows whose id the filter takes for known, or those that it doesn't; no shuffle."""
+    width = len(df.columns)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            here = np.ones(batch.num_rows, bool)
+            for k in (width, width + 1):
+                bit = batch.column(k).to_numpy()
+                here &= (known.value[bit >> 5] >> (bit & 31)) & 1 == 1
+            if (here == inside).any():
+                yield batch.select(range(width)).filter(pa.array(here == inside))
+
+    return df.select("*", *(x.alias(f"__spot{i}") for i, x in enumerate(_spots(column)))).mapInArrow(keep, df.schema)

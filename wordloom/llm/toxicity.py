@@ -269,3 +269,16 @@ def score(df: DataFrame, scorer: Scorer, text_col: str = "text", keep: tuple[str
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("__text").schema)
     return map_batches(rows, "__text", f"{schema}, score double, predicted int", make)
+
+
+def without_toxic(docs: DataFrame, scorer: Scorer, text_col: str = "text", limit: float = 0.5) -> DataFrame:
+    """The rows that score under ``limit``, with all their columns."""
+    held, at = docs.sparkSession.sparkContext.broadcast(scorer), docs.columns.index(text_col)
+
+    def make():
+        def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
+            return batch.filter(pa.array([held.value.score(t) < limit for t in batch.column(at).to_pylist()], pa.bool_()))
+
+        return keep
+
+    return map_batches(docs, text_col, docs.schema, make)
