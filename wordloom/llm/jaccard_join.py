@@ -126,6 +126,14 @@ def as_long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
 
 
+def packed(bucket: np.ndarray, rows: np.ndarray, name: str) -> pa.RecordBatch:
+    """One row a bucket, with the bucket's rows end to end as bytes."""
+    order = np.argsort(bucket, kind="stable")
+    at, rows = bucket[order].astype(np.int32), rows[order]
+    heads = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    return pa.record_batch([pa.array(at[heads]), pa.array([x.tobytes() for x in np.split(rows, heads[1:])], pa.binary())], ["bucket", name])
+
+
 class SignatureTree:
     """Sets in the order of their sizes, under nodes of FANOUT children."""
 
@@ -278,11 +286,7 @@ class Join:
 
             def flush() -> pa.RecordBatch:
                 both = np.concatenate(held)
-                at = (both[:, 0] % U64(buckets)).astype(np.int64)
-                order = np.argsort(at, kind="stable")
-                both, at = both[order], at[order]
-                heads = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-                return pa.record_batch([pa.array(at[heads].astype(np.int32)), pa.array([x.tobytes() for x in np.split(both, heads[1:])], pa.binary())], ["bucket", "pairs"])
+                return packed(both[:, 0] % U64(buckets), both, "pairs")
 
             for batch in batches:
                 for piece in text_slices(batch, "text"):
@@ -308,14 +312,26 @@ class Join:
     def survivors(self, vertices: DataFrame) -> DataFrame:
         """The vertices whose prefixes have enough repeated shingles."""
 
+        parts = self.parts
+
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = [x for b in batches for x in b.column(1).to_pylist()]
             if raw:
                 _, fp, df = counted(raw)
                 fp, n = np.unique(fp[df > 1], return_counts=True)
-                yield pa.record_batch([as_long(fp), pa.array(n, pa.int64())], ["fp", "n"])
+                if len(fp):
+                    yield packed(fp % U64(4 * parts), np.stack([fp, n.astype(np.uint64)], 1), "items")
+
+        def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            raw = [x for b in batches for x in b.column(1).to_pylist()]
+            if raw:
+                items = np.frombuffer(b"".join(raw), np.uint64).reshape(-1, 2)
+                fp, where = np.unique(items[:, 0], return_inverse=True)
+                n = np.bincount(where, items[:, 1].astype(np.float64)).astype(np.int64)
+                yield pa.record_batch([as_long(fp), pa.array(n, pa.int64())], ["fp", "repeated"])
 
-        repeated = self.pairs(self.rows, True).mapInArrow(count, "fp long, n long").groupBy("fp").agg(F.sum("n").alias("repeated"))
+        partial = self.pairs(self.rows, True).mapInArrow(count, "bucket int, items binary")
+        repeated = partial.repartition(parts, "bucket").mapInArrow(total, "fp long, repeated long")
         return vertices.join(repeated, "fp", "left").where(F.coalesce("repeated", F.lit(0)) >= F.col("need")).select("fp", "rep", "n")
 
     def texts_of(self, chosen: DataFrame) -> DataFrame:
@@ -328,11 +344,7 @@ class Join:
         frequent = np.iinfo(np.int64).max
 
         def send(fp: np.ndarray, token: np.ndarray, df: np.ndarray) -> pa.RecordBatch:
-            at = (fp % U64(4 * parts)).astype(np.int64)
-            order = np.argsort(at, kind="stable")
-            at, packed = at[order], np.stack([fp, token, df.astype(np.uint64)], 1)[order]
-            heads = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-            return pa.record_batch([pa.array(at[heads].astype(np.int32)), pa.array([x.tobytes() for x in np.split(packed, heads[1:])], pa.binary())], ["bucket", "items"])
+            return packed(fp % U64(4 * parts), np.stack([fp, token, df.astype(np.uint64)], 1), "items")
 
         def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = [x for b in batches for x in b.column(1).to_pylist()]
