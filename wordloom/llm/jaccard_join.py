@@ -425,7 +425,7 @@ class Join:
     def components(self) -> DataFrame:
         """``(id, n_shingles, component_id)``."""
         described = materialise(self.sets(), "join-sets")
-        vertices = materialise(described.where("n > 0").groupBy("fp").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.min("need").alias("need")), "join-vertices")
+        vertices = materialise(described.where("n > 0").groupBy("fp").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.min("need").alias("need"), F.count("*").alias("copies")), "join-vertices")
         alive = materialise(self.survivors(vertices), "join-survivors")
         keys = materialise(self.keys(alive), "join-keys")
         centres = keys.groupBy("token").agg(F.min("fp").alias("u"), F.count("*").alias("g")).where("g > 1").select("token", "u")
@@ -457,8 +457,13 @@ class Join:
             labels = materialise(labels.drop("label").join(again.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "block", "size", F.coalesce("c", "fp").alias("label")), "join-labels")
         smallest = labels.join(vertices.select("fp", "rep"), "fp").groupBy("label").agg(F.min("rep").alias("component_id"))
         final = labels.join(smallest, "label").select("fp", "component_id")
-        named = vertices.join(final, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-        return described.join(named, "fp", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+        named = vertices.join(final, "fp", "left").select("fp", "copies", F.coalesce("component_id", "rep").alias("component_id"))
+        # a set that a thousandth of all documents share meets them by broadcast: there are a thousand such sets at most
+        many = described.count() / 1000
+        heavy = F.broadcast(named.where(F.col("copies") > many).select("fp", "component_id"))
+        light = described.join(heavy.select("fp"), "fp", "left_anti").join(named.where(F.col("copies") <= many).select("fp", "component_id"), "fp", "left")
+        out = described.join(heavy, "fp").unionByName(light)
+        return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
 def prefix_lengths(n: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
