@@ -39,8 +39,9 @@ def add(name: str, table: str, fn: Callable[[DataFrame], DataFrame], sql: str |
         SQL[name] = sql
 
 
-def part_filter(name: str, pred: Column, where: str) -> None:
-    add(name, "part", lambda p: B.Query(p).where(pred).select("p_partkey", "p_name", "p_type", "p_size").all(), f"SELECT p_partkey, p_name, p_type, p_size FROM part WHERE {where}")
+def part_filter(name: str, pred: Callable[[], Column], where: str) -> None:
+    """Columns are made when a query is, for making them needs a session."""
+    add(name, "part", lambda p: B.Query(p).where(pred()).select("p_partkey", "p_name", "p_type", "p_size").all(), f"SELECT p_partkey, p_name, p_type, p_size FROM part WHERE {where}")
 
 
 for _name, _args, _where in [
@@ -50,14 +51,17 @@ for _name, _args, _where in [
     ("contains", ("p_name", "contains", "ring"), "contains(p_name, 'ring')"), ("prefix", ("p_name", "has_prefix", "red"), "starts_with(p_name, 'red')"), ("suffix", ("p_name", "has_suffix", "ring"), "ends_with(p_name, 'ring')"),
     ("equal_fold", ("p_name", "equal_fold", "SMALL Ring"), "lower(p_name) = 'small ring'"), ("contains_fold", ("p_name", "contains_fold", "RING"), "contains(lower(p_name), 'ring')"),
 ]:
-    part_filter(f"filter_{_name}", B.where(*_args), _where)
-part_filter("filter_or", B.any_of(B.where("p_size", "lt", 5), B.where("p_type", "eq", "SMALL")), "p_size < 5 OR p_type = 'SMALL'")
-part_filter("filter_and", B.all_of(B.where("p_size", "lt", 25), B.where("p_type", "eq", "SMALL")), "p_size < 25 AND p_type = 'SMALL'")
-part_filter("filter_not", B.none_of(B.where("p_size", "lt", 25)), "NOT (p_size < 25)")
-part_filter("filter_raw_sql", F.expr("p_size % 7 = 3"), "p_size % 7 = 3")
-_nil = F.when(F.col("p_size") > 20, F.col("p_type")).alias("lemma")
-add("filter_is_nil", "part", lambda p: p.select("p_partkey", _nil).where(B.where("lemma", "is_nil")).select("p_partkey"), "SELECT p_partkey FROM part WHERE (CASE WHEN p_size > 20 THEN p_type END) IS NULL")
-add("filter_not_nil", "part", lambda p: p.select("p_partkey", _nil).where(B.where("lemma", "not_nil")), "SELECT p_partkey, p_type AS lemma FROM part WHERE p_size > 20")
+    part_filter(f"filter_{_name}", lambda args=_args: B.where(*args), _where)
+part_filter("filter_or", lambda: B.any_of(B.where("p_size", "lt", 5), B.where("p_type", "eq", "SMALL")), "p_size < 5 OR p_type = 'SMALL'")
+part_filter("filter_and", lambda: B.all_of(B.where("p_size", "lt", 25), B.where("p_type", "eq", "SMALL")), "p_size < 25 AND p_type = 'SMALL'")
+part_filter("filter_not", lambda: B.none_of(B.where("p_size", "lt", 25)), "NOT (p_size < 25)")
+part_filter("filter_raw_sql", lambda: F.expr("p_size % 7 = 3"), "p_size % 7 = 3")
+def _nil() -> Column:
+    return F.when(F.col("p_size") > 20, F.col("p_type")).alias("lemma")
+
+
+add("filter_is_nil", "part", lambda p: p.select("p_partkey", _nil()).where(B.where("lemma", "is_nil")).select("p_partkey"), "SELECT p_partkey FROM part WHERE (CASE WHEN p_size > 20 THEN p_type END) IS NULL")
+add("filter_not_nil", "part", lambda p: p.select("p_partkey", _nil()).where(B.where("lemma", "not_nil")), "SELECT p_partkey, p_type AS lemma FROM part WHERE p_size > 20")
 
 
 def cel(name: str, filter: str, where: str) -> None:
@@ -158,12 +162,15 @@ def _forms(p: DataFrame) -> DataFrame:
 
 add("forms_by_lemma", "part", _forms, f"SELECT lemma, string_agg(text || ':' || word_type, ',' ORDER BY text, word_type) AS forms FROM ({_words}) WHERE lemma IS NOT NULL AND word_type <> 'lemma' GROUP BY lemma")
 
-_aggs = [B.aggregate("count", name="n"), B.aggregate("sum", "p_size", "sum_size"), B.aggregate("min", "p_size", "min_size"), B.aggregate("max", "p_name", "max_name")]
-_mean = F.round(F.avg("p_size"), 6).alias("mean_size")
+
+def _aggs() -> list[tuple[str, Column]]:
+    return [B.aggregate("count", name="n"), B.aggregate("sum", "p_size", "sum_size"), B.aggregate("min", "p_size", "min_size"), B.aggregate("max", "p_name", "max_name"), ("p_size", F.round(F.avg("p_size"), 6).alias("mean_size"))]
+
+
 _agg_sql = "count(*) AS n, CAST(sum(p_size) AS BIGINT) AS sum_size, min(p_size) AS min_size, max(p_name) AS max_name, round(avg(p_size), 6) AS mean_size"
-add("agg_by_one", "part", lambda p: B.Query(p).group_by("p_type").aggregate(*_aggs, ("p_size", _mean)), f"SELECT p_type, {_agg_sql} FROM part GROUP BY p_type")
-add("agg_by_two", "part", lambda p: B.Query(p).group_by("p_type", "p_brand").aggregate(*_aggs, ("p_size", _mean)), f"SELECT p_type, p_brand, {_agg_sql} FROM part GROUP BY p_type, p_brand")
-add("agg_global", "part", lambda p: B.Query(p).aggregate(*_aggs, ("p_size", _mean)), f"SELECT {_agg_sql} FROM part")
+add("agg_by_one", "part", lambda p: B.Query(p).group_by("p_type").aggregate(*_aggs()), f"SELECT p_type, {_agg_sql} FROM part GROUP BY p_type")
+add("agg_by_two", "part", lambda p: B.Query(p).group_by("p_type", "p_brand").aggregate(*_aggs()), f"SELECT p_type, p_brand, {_agg_sql} FROM part GROUP BY p_type, p_brand")
+add("agg_global", "part", lambda p: B.Query(p).aggregate(*_aggs()), f"SELECT {_agg_sql} FROM part")
 add("agg_lines", "lineitem", lambda x: x.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity")), "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY ALL")
 add("distinct_select", "part", lambda p: B.Query(p).select("p_type", "p_size").unique().all(), "SELECT DISTINCT p_type, p_size FROM part")
 add("count_distinct", "part", lambda p: p.agg(F.countDistinct("p_name").alias("n")), "SELECT count(DISTINCT p_name) AS n FROM part")
@@ -172,7 +179,6 @@ add("ids", "part", lambda p: as_words(p).select("id"), "SELECT p_partkey AS id F
 add("next_id_watermark", "part", lambda p: p.agg((F.max("p_partkey") + 1).alias("next_id")), "SELECT max(p_partkey) + 1 AS next_id FROM part")
 add("table_count", "events", lambda e: e.agg(F.count(F.lit(1)).alias("n")), "SELECT count(*) AS n FROM events")
 
-_line = "trim(regexp_replace(x, '^\\s+|\\s+$', '', 'g'))"
 add("split_lines", "documents", lambda d: d.select("doc_id", F.posexplode(T.split_lines(F.col("text"))).alias("pos", "line")), "SELECT doc_id, i - 1 AS pos, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS l FROM documents))")
 _pos = "|".join(T.POS_TAGS)
 add(

@@ -1,20 +1,29 @@
 """Schemas and keys of the two tables."""
 
-from pyspark.sql.types import StructType
-
-_SENTENCES = "array<struct<text:string,source:int,source_ref:string>>"
-WORDS = StructType.fromDDL(
-    "id bigint, text string, language string, word_type string, lemma string, phonetics array<struct<ipa:string,dialect:string>>, "
-    "meanings array<struct<pos:string,text:string,language:string>>, tags array<string>, "
-    "phrases array<struct<id:bigint,text:string,language:string,definitions:array<struct<pos:string,text:string,language:string>>,created_at:timestamp,updated_at:timestamp>>, "
-    f"sentences {_SENTENCES}, relations array<struct<word:string,relation_type:int>>, created_at timestamp, updated_at timestamp"
-)
-USER_WORDS = StructType.fromDDL(
-    "id bigint, user_id bigint, word string, language string, mastery_listen smallint, mastery_read smallint, mastery_spell smallint, mastery_pronounce smallint, mastery_use smallint, "
-    "mastery_overall int, review_last_review_at timestamp, review_next_review_at timestamp, review_interval_days int, review_fail_count int, query_count bigint, notes string, "
-    f"sentences {_SENTENCES}, relations array<struct<word:string,relation_type:int,note:string,created_by:string,created_at:timestamp,updated_at:timestamp>>, "
-    "created_by string, created_at timestamp, updated_at timestamp"
-)
+from pyspark.sql.types import ArrayType, DataType, IntegerType, LongType, ShortType, StringType, StructField, StructType, TimestampType
+
+_S, _I, _L, _H, _T = StringType(), IntegerType(), LongType(), ShortType(), TimestampType()
+
+
+def _struct(**fields: DataType) -> StructType:
+    return StructType([StructField(k, v) for k, v in fields.items()])
+
+
+def _list(**fields: DataType) -> ArrayType:
+    return ArrayType(_struct(**fields))
+
+
+_DEFINITIONS = _list(pos=_S, text=_S, language=_S)
+_SENTENCES = _list(text=_S, source=_I, source_ref=_S)
+WORDS = _struct(
+    id=_L, text=_S, language=_S, word_type=_S, lemma=_S, phonetics=_list(ipa=_S, dialect=_S), meanings=_DEFINITIONS, tags=ArrayType(_S),
+    phrases=_list(id=_L, text=_S, language=_S, definitions=_DEFINITIONS, created_at=_T, updated_at=_T), sentences=_SENTENCES, relations=_list(word=_S, relation_type=_I), created_at=_T, updated_at=_T,
+)
+USER_WORDS = _struct(
+    id=_L, user_id=_L, word=_S, language=_S, mastery_listen=_H, mastery_read=_H, mastery_spell=_H, mastery_pronounce=_H, mastery_use=_H, mastery_overall=_I,
+    review_last_review_at=_T, review_next_review_at=_T, review_interval_days=_I, review_fail_count=_I, query_count=_L, notes=_S, sentences=_SENTENCES,
+    relations=_list(word=_S, relation_type=_I, note=_S, created_by=_S, created_at=_T, updated_at=_T), created_by=_S, created_at=_T, updated_at=_T,
+)
 TABLES = {"user_words": USER_WORDS, "words": WORDS}
 UNIQUE = {"words": [("id",), ("language", "text", "word_type")], "user_words": [("id",)]}
 NULLABLE = {"words": {"lemma"}, "user_words": {"notes", "review_last_review_at", "review_next_review_at"}}
