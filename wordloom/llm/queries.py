@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import byte_bpe, chat_format, decontaminate, jaccard_join, language_id, license_scan, token_archive, toxicity, warc
+from wordloom.llm import byte_bpe, chat_format, decontaminate, image_copies, jaccard_join, language_id, license_scan, token_archive, toxicity, warc
 from wordloom.llm.shared import fold_of
 
 END_ID = 2
@@ -29,6 +29,11 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.predict(docs, model, keep=("doc_id", "held_out"))
 
 
+def op3_image_copies(spark: SparkSession, folder: str) -> DataFrame:
+    """Classes of near-copies among the vectors of ``embeddings``, drawn as images."""
+    return image_copies.copies(image_copies.render_vectors(table(spark, folder, "embeddings"), "vec_id", "embedding"))
+
+
 def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text").withColumn("held_out", fold_of(F.col("doc_id")) == 0)
     labels = table(spark, folder, "labels").where(fold_of(F.col("doc_id")) != 0)
