@@ -162,7 +162,7 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", key: str
             if row == len(rows):
                 rows.append(base[r.kind].copy())
             rows[row][at[r.lang]] = math.log(r.n + 0.1) - math.log(sums[r.kind, r.lang][0] + 0.1 * size[r.kind])
-        return at_row, np.array(rows, np.float32).reshape(-1, len(langs))
+        return at_row, np.array(rows, np.float32).reshape(len(rows), len(langs))
 
     (words, *_), word_rows = table(0, 0, MAX_WORDS)
     grams, gram_rows = table(1, LONGEST_GRAM, MAX_GRAMS)

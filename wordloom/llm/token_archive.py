@@ -61,14 +61,31 @@ class WordCache:
             self.held.clear()
         held = self.held
         new = list({w for words in runs for w in words if w not in held})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for word, encoding in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                held[word] = np.array(encoding.ids, "<u4").tobytes()
+        parts = [split_tail(w) for w in new]
+        units = list({u for p in parts for u in p} - held.keys())
+        for at in range(0, len(units), 4096):
+            some = units[at : at + 4096]
+            for unit, encoding in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                held[unit] = np.array(encoding.ids, "<u4").tobytes()
         get = held.__getitem__
+        for word, units_of in zip(new, parts, strict=True):
+            held[word] = b"".join(map(get, units_of))
         return [b"".join(map(get, words)) for words in runs]
 
 
+# ASCII marks but for the apostrophe, which can open a contraction.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def split_tail(run: str) -> tuple[str, ...]:
+    """A run as its body and the marks behind it, where the tokenizer parts them anyway; ASCII bodies in lower case, as it has them."""
+    body = run.rstrip(MARKS)
+    if not body or not body[-1].isalnum() or "'" in run:
+        return (run,)
+    low = body.lower() if body.isascii() else body
+    return (low,) if len(body) == len(run) else (low, run[len(body) :])
+
+
 #: Runs between ASCII white space; other white space stays inside a run, where the library sees it.
 RUN = re.compile(r"[^ \t\n\r\f\v]+")
 

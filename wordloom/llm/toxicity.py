@@ -247,7 +247,8 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", key: str = "
 
     points = map_batches(rows, "text", "a double, b double, c double, d double, toxic int", make).groupBy("a", "b", "c", "d", "toxic").count().collect()
     x, y, n = (np.array([f(p) for p in points], float) for f in (lambda p: p[:4], lambda p: p.toxic, lambda p: p[5]))
-    w, ridge = np.zeros(4), np.diag([1e-6, 0.1, 0.1, 0.1])
+    # one strong stem should do: the others' weights are held closer to 0
+    w, ridge = np.zeros(4), np.diag([1e-6, 0.01, 1.0, 1.0])
     for _ in range(50):  # Newton's steps of a logistic regression
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         w += np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (n * (y - p)) - ridge @ w)
