@@ -189,4 +189,7 @@ def test_image_copies(spark):
     rows = [(i, bytearray(image_copies.encode(x))) for i, x in enumerate(images)] + [(7, None), (8, bytearray(b"junk"))]
     got = {r.image_id: r.class_id for r in image_copies.copies(spark.createDataFrame(rows, "image_id long, image binary")).collect()}
     assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 5, 6: 6, 7: 7, 8: 8}
+    for raw in (None, b"", b"P5", b"P5 1", b"P5 # c", b"P5 0 0 255\n", b"P5 3 3 255\nxx", b"P5 1 1 999\nxx"):
+        assert image_copies.decode(raw) is None
+    assert image_copies.decode(b"P5 # c\n2 1 255\n\x00\xff").tolist() == [[0.0, 1.0]]
     assert not math.isnan(image_copies.describe(np.zeros((40, 40)))[0].sum())
