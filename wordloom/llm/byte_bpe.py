@@ -31,7 +31,7 @@ from wordloom.llm.shared import map_batches
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 2_048
 #: Distinct runs whose ids a worker remembers.
-CACHE_RUNS = 500_000
+CACHE_RUNS = 150_000
 # The characters with Unicode's White_Space property.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Runs that the pre-token pattern never crosses: a space with what follows up to white space, or white space itself.

@@ -29,7 +29,7 @@ MAX_WORDS, MAX_GRAMS = 60_000, 60_000
 LONGEST_GRAM = 5
 UNDETERMINED = "und"
 WORD = re.compile(r"[^\W\d_]+")
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 
 
 def words_of(text: str) -> list[str]:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Folder used only where the session names none (tests on one machine).
 FALLBACK_DIR = "file:///tmp/checkpoints"
 #: Most bytes of text that a Python worker takes up at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -68,6 +68,7 @@ def map_batches(df: DataFrame, column: str, schema: str, make: Callable[[], Call
             fn = fn or make()
             for piece in text_slices(batch, column):
                 yield fn(piece)
+        pa.default_memory_pool().release_unused()  # the worker is kept for other tasks
 
     return df.mapInArrow(run, schema)
 

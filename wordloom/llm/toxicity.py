@@ -30,7 +30,7 @@ TRAIN_DOCS, MAX_STEMS = 60_000, 20_000
 #: A stem counts from so many labelled documents on.
 MIN_DOCS = 4
 STEM_LENGTHS = (4, 5, 6)
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 
 # What a symbol is written in place of.
 STANDS_FOR = {
