@@ -193,3 +193,28 @@ def test_image_copies(spark):
         assert image_copies.decode(raw) is None
     assert image_copies.decode(b"P5 # c\n2 1 255\n\x00\xff").tolist() == [[0.0, 1.0]]
     assert not math.isnan(image_copies.describe(np.zeros((40, 40)))[0].sum())
+
+
+def test_image_links_like_brute_force(spark):
+    g = np.random.default_rng(7)
+    base = g.normal(size=(60, 64))
+    vectors = [(i, (base[i % 60] + g.normal(size=64) * 0.12).tolist()) for i in range(240)]
+    rows = image_copies.render_vectors(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), "vec_id", "embedding").select("image_id", "image", F.xxhash64("image").alias("fp")).collect()
+    seen = sorted((r.fp, r.image_id, image_copies.describe(image_copies.decode(bytes(r.image)))) for r in rows)
+    up = {i: i for _, i, _ in seen}
+    for n, (_, i, a) in enumerate(seen):
+        for _, j, b in seen[n + 1 :]:
+            x, y = a[1].view("<u8"), b[1].view("<u8")
+            if any(np.isin(x[:, k], y[:, k]).any() for k in range(2)) and image_copies.consensus(a, b) >= image_copies.VOTES:
+                old, new = max(up[i], up[j]), min(up[i], up[j])
+                up = {k: new if c == old else c for k, c in up.items()}
+    images = spark.createDataFrame([(r.image_id, r.image) for r in rows], "image_id long, image binary")
+    assert {r.image_id: r.class_id for r in image_copies.copies(images).collect()} == up
+
+
+def test_image_pairs_of_frequent_words(spark, monkeypatch):
+    monkeypatch.setattr(image_copies, "BLOCK", 4)
+    keyed = spark.createDataFrame([(i, 1) for i in range(30)] + [(40, 2), (41, 2)], "fp long, key long")
+    labels = spark.createDataFrame([(0, 0), (1, 0), (40, 40), (41, 40)], "v long, c long")
+    got = sorted(tuple(r) for r in image_copies.unlinked_pairs(keyed, labels).collect())
+    assert got == [(i, j) for i in range(30) for j in range(i + 1, 30) if (i, j) != (0, 1)]
