@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from wordloom.llm import byte_bpe, chat_format, decontaminate, image_copies, jaccard_join, language_id, license_scan, token_archive, toxicity, warc
+from wordloom.llm import byte_bpe, chat_format, decontaminate, image_copies, jaccard_join, language_id, license_scan, queries, token_archive, toxicity, warc
 from wordloom.llm.components import connected_components
 
 ODD = [None, "", " ", "\n\n", "a", "it's don't", "x" * 5000, "    y", "héé***  çà,, 12", "日本 語", "<|endoftext|>", "a b c d e", "a b c d e"]
@@ -63,6 +63,19 @@ def test_token_archive(spark):
         token_archive.FileReader(lambda at, n: raw[at : at + n], len(raw), b"x")
 
 
+def test_token_archive_query_added_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [*ODD, "foo <|endoftext|> bar", "Foo<|endoftext|>bar.", "<|ENDOFTEXT|>", "it's<|startoftext|>'s <|endoftext|>", "<|endoftext|><|endoftext|>", "x<|endoftext |>", "a\u2028<|endoftext|>!! e\u0301<|endoftext|>\u0301", "<|endoftext<|endoftext|>|>"]
+    frame(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    start = 0
+    for r, t in zip(sorted(queries.op5_token_archive(spark, str(tmp_path)).collect()), texts, strict=True):
+        ids = np.array([*plain.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        assert tuple(r) == (r.doc_id, start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
 def test_language_id(spark):
     rows = [(i, t, lang) for i, (t, lang) in enumerate([("the cat and the dog", "en"), ("le chat et le chien", "fr"), ("the house", "en"), ("la maison", "fr"), (None, "en"), ("x", None)] * 4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")

@@ -41,7 +41,7 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_token_archive(spark: SparkSession, folder: str) -> DataFrame:
-    path, manifest, dictionary = token_archive.write_archive(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID)
+    path, manifest, dictionary = token_archive.write_archive(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID, added=True)
     return token_archive.digest(token_archive.read_archive(path, manifest, dictionary))
 
 

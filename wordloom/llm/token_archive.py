@@ -46,22 +46,39 @@ class WordCache:
     """The ids of a text, one run of non-space characters at a time.
 
     White space always ends a pre-token of this tokenizer and leaves no id, so the runs can be encoded apart; each
-    distinct run is encoded once by the library and remembered.
+    distinct run is encoded once by the library and remembered.  With ``added``, added tokens such as <|endoftext|> in a
+    text get their own ids, as by default in the library: it cuts a text there before anything else, so a text is cut
+    there first, and such a piece is encoded as it is.  Without, they are text like any other.
     """
 
-    def __init__(self, path: str, most: int = CACHE_WORDS):
+    def __init__(self, path: str, most: int = CACHE_WORDS, added: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.held = Tokenizer.from_file(path), most, {}
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        tokens = list(self.tokenizer.get_added_tokens_decoder().values()) if added else []
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in tokens):
+            raise ValueError("added tokens that depend on what is around them")
+        self.added = {t.content for t in tokens}
+        # the longest first, as the library matches them
+        self.cut = re.compile("|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))) if tokens else None
+
+    def runs(self, text: str) -> list[str]:
+        if self.cut is None or not self.cut.search(text):
+            return RUN.findall(text)
+        out, at = [], 0
+        for m in self.cut.finditer(text):
+            out += [*RUN.findall(text[at : m.start()]), m[0]]
+            at = m.end()
+        return out + RUN.findall(text[at:])
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        runs = [RUN.findall(t) if t else [] for t in texts]
+        runs = [self.runs(t) if t else [] for t in texts]
         if len(self.held) > self.most:
             self.held.clear()
         held = self.held
         new = list({w for words in runs for w in words if w not in held})
-        parts = [split_tail(w) for w in new]
+        parts = [(w,) if w in self.added else split_tail(w) for w in new]
         units = list({u for p in parts for u in p} - held.keys())
         for at in range(0, len(units), 4096):
             some = units[at : at + 4096]
@@ -91,11 +108,11 @@ RUN = re.compile(r"[^ \t\n\r\f\v]+")
 
 
 @functools.cache
-def word_cache(path: str) -> WordCache:
+def word_cache(path: str, added: bool = False) -> WordCache:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task has one core
-    return WordCache(path)
+    return WordCache(path, added=added)
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -167,14 +184,17 @@ class FileReader:
         return self.ids(k) if k < len(self.index) and self.index[k, 0] == doc_id else None
 
 
-def write_archive(df: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> tuple[str, DataFrame, bytes]:
-    """Encode, range-partition by id and write; returns the folder, its manifest and the dictionary."""
+def write_archive(df: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, added: bool = False) -> tuple[str, DataFrame, bytes]:
+    """Encode, range-partition by id and write; returns the folder, its manifest and the dictionary.
+
+    ``added``: whether added tokens in a text get their own ids.
+    """
     spark = df.sparkSession
     path = path or fresh_path(spark, "tokens")
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def sample() -> object:
-        cache = word_cache(tokenizer)
+        cache = word_cache(tokenizer, added)
 
         def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
             packed = [pack(np.frombuffer(x, "<u4")) for x in cache.encode_all(batch.column(1).to_pylist())]
@@ -190,7 +210,7 @@ def write_archive(df: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc
         context = TaskContext.get()
         name = f"part-{context.partitionId():06d}.wltok"
         store, root = pa.fs.FileSystem.from_uri(path)
-        end, cache, writer = np.array([end_id], "<u4").tobytes(), word_cache(tokenizer), FileWriter(held.value)
+        end, cache, writer = np.array([end_id], "<u4").tobytes(), word_cache(tokenizer, added), FileWriter(held.value)
         batch = next(batches, None)
         if batch is None:
             return
