@@ -97,6 +97,27 @@ def test_toxicity(spark):
     assert none.where("score > 0").count() == 0
 
 
+@pytest.fixture(scope="module")
+def toxic_words(spark):
+    """Whether a text is found toxic by a scorer that knows some toxic words."""
+    bad = ["idiot", "loser", "clown", "trash", "pathetic", "scum", "ass"]
+    good = ["what a lovely day in the park", "i think you are right about the letter", "the old house has a garden and you like it"] * 20
+    docs = frame(spark, good + [f"{x} {w}" for w in bad for x in ("you", "you are a", "the old", "i think you are", "what a") * 2])
+    labels = spark.createDataFrame([(i, int(i >= 60)) for i in range(130)], "doc_id long, toxic int")
+    scorer = toxicity.fit(docs, labels)
+    assert all(scorer.score(f"you {w}") >= 0.5 for w in bad)
+    return lambda text: scorer.score(text) >= 0.5
+
+
+@pytest.mark.parametrize("text", ["you are a i d i o t", "y o u i d i o t", "y o u  i d i o t", "i  d  i  o  t", "you.1d10t", "a s s", "you a s s", "t h e o l d h o u s e h a s a g a r d e n a n d y o u i d i o t", "the.old.house.has.a.garden.and.you.like.it.1d10t"])
+def test_toxic_words_in_runs(toxic_words, text):
+    assert toxic_words(text)
+
+
+def test_clean_runs(toxic_words):
+    assert not any(map(toxic_words, ["a b c d e", "t h e o l d h o u s e", "the.old.house", "a  b  c", "i a", "- - - -", "x" * 5000, "1" * 5000, "a " * 3000]))
+
+
 def test_license_scan(spark):
     texts = ["Licensed under the Apache License, Version 2.0.", "MIT License MIT License", "Licensed under CC BY-NC 4.0.", None, "", "gnu general public-license version 3", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"]
     got = [tuple(r)[1:] for r in license_scan.scan(frame(spark, texts)).orderBy("doc_id").collect()]

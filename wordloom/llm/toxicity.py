@@ -1,9 +1,10 @@
 """Toxicity scores after noisy-channel deobfuscation.
 
 Tokens that look disguised (digits or symbols inside a word, letters spaced out one by one, letters repeated) become a
-lattice: each character may stand for itself, for the letters it is used in place of, or for nothing (separators,
-repeats).  A Viterbi search picks the path that is likeliest under a character trigram model of the whole corpus and
-under the channel's costs.  The text's words, restored ones among them, are then scored: words and word stems have a
+lattice: each character may stand for itself, for the letters it is used in place of, for nothing (separators,
+repeats) or for the end of a word (all but letters).  A Viterbi search picks the path that is likeliest under a
+character trigram model of the whole corpus and under the channel's costs; if it has several words, the likeliest path
+of a single word is kept too.  The text's words, restored ones among them, are then scored: words and word stems have a
 lower confidence bound of the share of labelled texts with them that are toxic, and a logistic model of the strongest
 ones gives the score.
 
@@ -40,15 +41,21 @@ STANDS_FOR = {
 SEPARATORS = frozenset(".-_*~'`/\\:,;^=#%&\"")
 # Costs in nats of the channel: writing a symbol for a letter, leaving a repeat or a separator out, keeping a repeat.
 SWAP, DROP, KEEP_REPEAT = 0.5, 0.2, 1.5
+#: Ending a word at a symbol that can stand for a letter, and leaving out a gap wider than others of its run.
+MARK_SYMBOL, DROP_WIDE = 3.0, 2.0
 
-SYMBOLS = 27  # letters a-z and the word mark
+SYMBOLS, MARK = 27, 26  # letters a-z and the word mark
 WORD = re.compile(r"[^\W\d_]+")
 #: Disguise in a token: symbols between letters, a symbol before letters, or a letter three times in a row.
 DISGUISED = re.compile(r"[^\W\d_][0-9@$!|+(€£.\-_*~'`/\\:^=]+[^\W\d_]|[@$0-9][^\W\d_]{2}|([^\W\d_])\1\1")
 REPEATED = re.compile(r"(.)\1\1")
-#: So many single characters between white space, one after another, are taken for a spaced-out word.
-SPACED_RUN = 4
+#: Single characters between white space, one after another, are taken for spaced-out words.
+SPACED = re.compile(r"(?<!\S)\S(?:\s++\S(?!\S))+")
+GAP = re.compile(r"\s+")
+#: In a run of single characters, a gap wider than its narrowest.
+WIDE = "\n"
 EDGES = "".join(SEPARATORS) + "?)[]{}<>"
+#: Longer tokens are decoded whenever they come, not remembered.
 LONGEST_TOKEN = 48
 
 
@@ -101,12 +108,15 @@ class CharModel:
         p3 = (three + 20 * p2[None]) / (three.sum(2, keepdims=True) + 20)
         self.log = np.log(p3).tolist()
 
-    def decode(self, chars: str) -> str:
-        """The likeliest letters behind ``chars``; the beam holds the best path of every two-letter history."""
-        beam = {(26, 26): (0.0, "")}
+    def decode(self, chars: str, marks: bool = True) -> list[str]:
+        """The words of the likeliest path behind ``chars``; the beam holds the best path of every two-symbol history.
+
+        Without ``marks`` there is one word.  A path is a chain of (path before, symbol).
+        """
+        beam: dict[tuple[int, int], tuple[float, tuple | None]] = {(MARK, MARK): (0.0, None)}
         last = ""
         for char in chars.lower():
-            options: list[tuple[int, float]] = []  # letter or -1 for none, and its cost
+            options: list[tuple[int, float]] = []  # letter, word mark or -1 for none, and its cost
             k = letter(char)
             if k >= 0:
                 options.append((k, KEEP_REPEAT if char == last else 0.0))
@@ -114,18 +124,30 @@ class CharModel:
                     options.append((-1, DROP))
             else:
                 options += [(ord(x) - 97, SWAP) for x in STANDS_FOR.get(char, "")]
-                if char in SEPARATORS or char.isspace():
+                if marks:
+                    options.append((MARK, MARK_SYMBOL if options else 0.0 if char == WIDE else DROP))
+                if char == WIDE:
+                    options.append((-1, DROP_WIDE))
+                elif char in SEPARATORS or char.isspace():
                     options.append((-1, DROP))
-                elif char == last or not options:
+                elif char == last or char not in STANDS_FOR:
                     options.append((-1, 2 * DROP))
-            step: dict[tuple[int, int], tuple[float, str]] = {}
+            step: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (score, said) in beam.items():
                 for k, cost in options:
-                    key, s, w = ((a, b), score - cost, said) if k < 0 else ((b, k), score - cost + self.log[a][b][k], said + chr(97 + k))
+                    if k < 0 or k == b == MARK:  # one mark after another says nothing new
+                        key, s, w = (a, b), score - cost, said
+                    else:
+                        key, s, w = (b, k), score - cost + self.log[a][b][k], (said, k)
                     if key not in step or s > step[key][0]:
                         step[key] = (s, w)
             beam, last = step, char
-        return max((score + self.log[a][b][26], said) for (a, b), (score, said) in beam.items())[1]
+        _, _, said = max(((score + (self.log[a][b][MARK] if b != MARK else 0.0), (a, b), said) for (a, b), (score, said) in beam.items()), key=lambda x: x[:2])
+        out = []
+        while said:
+            said, k = said
+            out.append(" " if k == MARK else chr(97 + k))
+        return "".join(reversed(out)).split()
 
 
 def stems_of(word: str) -> list[str]:
@@ -147,36 +169,42 @@ class Scorer:
     def __getstate__(self):
         return self.__dict__ | {"restored": {}, "strength": {}}
 
-    def restore(self, token: str) -> str:
+    def restore(self, token: str) -> tuple[str, ...]:
+        """The words that a token stands for, and the one that it is if no symbol ends a word."""
         token = token.strip(EDGES)
-        if token not in self.restored:
-            if len(self.restored) >= CACHE_WORDS:
-                self.restored.clear()
-            # long runs are decoded in pieces, so that the work stays in proportion to the text
-            self.restored[token] = "".join(self.chars.decode(token[i : i + LONGEST_TOKEN]) for i in range(0, len(token), LONGEST_TOKEN))
-        return self.restored[token]
+        if (x := self.restored.get(token)) is None:
+            x = self.chars.decode(token)
+            if len(x) > 1:
+                x += self.chars.decode(token, marks=False)
+            x = tuple(dict.fromkeys(x))
+            if len(token) <= LONGEST_TOKEN:
+                if len(self.restored) >= CACHE_WORDS:
+                    self.restored.clear()
+                self.restored[token] = x
+        return x
 
     def token_words(self, token: str) -> list[str]:
         """The words of a lower-cased token as written, and as restored if it looks disguised."""
         if token.isalpha():
-            return [token, self.restore(token)] if len(set(token)) + 2 <= len(token) and REPEATED.search(token) else [token]
+            return [token, *self.restore(token)] if len(set(token)) + 2 <= len(token) and REPEATED.search(token) else [token]
         found = WORD.findall(token)
         if DISGUISED.search(token):
-            found.append(self.restore(token))
+            found += self.restore(token)
         return found
 
-    def spaced_words(self, tokens: list[str]) -> list[str]:
-        """What runs of single characters spell."""
-        single = np.fromiter(map(len, tokens), np.int64, len(tokens)) == 1
-        if len(single) < SPACED_RUN or not np.logical_and.reduce([single[i : len(single) - SPACED_RUN + 1 + i] for i in range(SPACED_RUN)]).any():
-            return []
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], single.astype(np.int8), [0]])))
-        return [self.restore("".join(tokens[a:b])) for a, b in edges.reshape(-1, 2).tolist() if b - a >= SPACED_RUN]
+    def spaced_words(self, text: str) -> list[str]:
+        """What runs of single characters in a lower-cased text spell."""
+        out = []
+        for m in SPACED.finditer(text):
+            gaps = GAP.findall(m[0])
+            least = min(map(len, gaps))
+            out += self.restore("".join(c + (WIDE if len(g) > least else " ") for c, g in zip(GAP.split(m[0]), [*gaps, " "], strict=True)).strip())
+        return out
 
     def words(self, text: str) -> set[str]:
         """Distinct words of the text as written and as restored."""
-        tokens = text.lower().split()
-        return set().union(*map(self.token_words, set(tokens)), self.spaced_words(tokens)) - {""}
+        text = text.lower()
+        return set().union(*map(self.token_words, set(text.split())), self.spaced_words(text)) - {""}
 
     def strongest(self, token: str) -> tuple[float, str]:
         """The strongest stem of a token's words, (0, "") if it has none."""
@@ -187,8 +215,8 @@ class Scorer:
         return x
 
     def features(self, text: str | None) -> list[float]:
-        tokens = (text or "").lower().split()
-        found = set(map(self.strongest, {*tokens, *self.spaced_words(tokens)}))
+        text = (text or "").lower()
+        found = set(map(self.strongest, {*text.split(), *self.spaced_words(text)}))
         top = sorted((x for x, _ in found), reverse=True)[:3]
         top += [0.0] * (3 - len(top))
         return [1.0, top[0], top[1], top[2]]
