@@ -114,8 +114,13 @@ def test_toxic_words_in_runs(toxic_words, text):
     assert toxic_words(text)
 
 
+@pytest.mark.parametrize("text", ["!diot", "|oser", "(lown", "+rash", "£oser", "idi0+", "pathet1(", "s#cum", "id%iot", "idi,ot", "id&iot", "id;iot", 'id"iot', "iiddiioott", "(1d10t)", "id10t!"])
+def test_toxic_words_disguised(toxic_words, text):
+    assert toxic_words(f"you {text}")
+
+
 def test_clean_runs(toxic_words):
-    assert not any(map(toxic_words, ["a b c d e", "t h e o l d h o u s e", "the.old.house", "a  b  c", "i a", "- - - -", "x" * 5000, "1" * 5000, "a " * 3000]))
+    assert not any(map(toxic_words, ["a b c d e", "t h e o l d h o u s e", "the.old.house", "a  b  c", "i a", "- - - -", "hello letter (old) house!", "$5 100% 12,000 +1", "x" * 5000, "1" * 5000, "x1" * 2500, "a " * 3000]))
 
 
 def test_license_scan(spark):

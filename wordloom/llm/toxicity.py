@@ -1,7 +1,7 @@
 """Toxicity scores after noisy-channel deobfuscation.
 
-Tokens that look disguised (digits or symbols inside a word, letters spaced out one by one, letters repeated) become a
-lattice: each character may stand for itself, for the letters it is used in place of, for nothing (separators,
+Tokens that can be disguised (digits or symbols in or beside a word, letters spaced out one by one, letters repeated)
+become a lattice: each character may stand for itself, for the letters it is used in place of, for nothing (separators,
 repeats) or for the end of a word (all but letters).  A Viterbi search picks the path that is likeliest under a
 character trigram model of the whole corpus and under the channel's costs; if it has several words, the likeliest path
 of a single word is kept too.  The text's words, restored ones among them, are then scored: words and word stems have a
@@ -46,15 +46,16 @@ MARK_SYMBOL, DROP_WIDE = 3.0, 2.0
 
 SYMBOLS, MARK = 27, 26  # letters a-z and the word mark
 WORD = re.compile(r"[^\W\d_]+")
-#: Disguise in a token: symbols between letters, a symbol before letters, or a letter three times in a row.
-DISGUISED = re.compile(r"[^\W\d_][0-9@$!|+(€£.\-_*~'`/\\:^=]+[^\W\d_]|[@$0-9][^\W\d_]{2}|([^\W\d_])\1\1")
-REPEATED = re.compile(r"(.)\1\1")
+#: A letter twice in a row.
+REPEATED = re.compile(r"([^\W\d_])\1")
 #: Single characters between white space, one after another, are taken for spaced-out words.
 SPACED = re.compile(r"(?<!\S)\S(?:\s++\S(?!\S))+")
 GAP = re.compile(r"\s+")
 #: In a run of single characters, a gap wider than its narrowest.
 WIDE = "\n"
 EDGES = "".join(SEPARATORS) + "?)[]{}<>"
+#: Marks at a token's edge that can stand for letters or be no part of the word.
+SYMBOL_EDGES = EDGES + "".join(c for c in STANDS_FOR if not c.isdigit())
 #: Longer tokens are decoded whenever they come, not remembered.
 LONGEST_TOKEN = 48
 
@@ -184,12 +185,12 @@ class Scorer:
         return x
 
     def token_words(self, token: str) -> list[str]:
-        """The words of a lower-cased token as written, and as restored if it looks disguised."""
-        if token.isalpha():
-            return [token, *self.restore(token)] if len(set(token)) + 2 <= len(token) and REPEATED.search(token) else [token]
-        found = WORD.findall(token)
-        if DISGUISED.search(token):
-            found += self.restore(token)
+        """The words of a lower-cased token as written, and as restored unless it is plain: letters, none repeated."""
+        found = [token] if token.isalpha() else WORD.findall(token)
+        if found:
+            for inner in dict.fromkeys((token.strip(EDGES), token.strip(SYMBOL_EDGES))):
+                if not inner.isalpha() or REPEATED.search(inner):
+                    found += self.restore(inner)
         return found
 
     def spaced_words(self, text: str) -> list[str]:
