@@ -18,8 +18,8 @@ def test_slots():
     ("text", "says"),
     [
         ("keyword == 'a' || keyword == 'b'", "only AND is allowed"), ("!(keyword == 'a')", "only AND is allowed"), ("keyword == 'a' ? true : false", "only AND"), ("nope == 'a'", "not allowed"), ("keyword >= 'a'", "not allowed"),
-        ("keyword != 'a'", "not supported"), ("keyword.contains('a')", "not supported"), ("'a' == keyword", "left side"), ("keyword == true", "not supported"), ("keyword == 1", "string literal"), ("word in []", "has items"),
-        ("word in ['']", "no empty ones"), ("word in [1]", "string literals only"), ("keyword ==", "invalid filter"), ("keyword == 'a", "invalid filter"), ("keyword", "comparison"), ("word.startsWith(keyword)", "string literal"),
+        ("keyword != 'a'", "not supported"), ("keyword.contains('a')", "not supported"), ("'a' == keyword", "left-hand side must be an identifier"), ("keyword == true", "not supported"), ("keyword == 1", "expected string literal"), ("word in []", "must not be empty"),
+        ("word in ['']", "empty strings"), ("word in [1]", "elements must be strings"), ("keyword ==", "invalid filter"), ("keyword == 'a", "invalid filter"), ("keyword", "comparison"), ("word.startsWith(keyword)", "right-hand side"),
     ],
 )
 def test_errors(text, says):

@@ -83,11 +83,11 @@ def tokens(text: str) -> list[tuple[str, str]]:
 def parse_time(text: str) -> datetime:
     m = re.fullmatch(r"(\d{4}-\d\d-\d\d)T(\d\d:\d\d:\d\d)(\.\d+)?(Z|[+-]\d\d:\d\d)", text)
     if not m:
-        raise FilterError(f"filter: timestamp {text!r} is not RFC 3339")
+        raise FilterError(f"filter: timestamp literal {text!r} is not RFC3339")
     try:
         return datetime.fromisoformat(f"{m[1]}T{m[2]}{(m[3] or '')[:7]}{'+00:00' if m[4] == 'Z' else m[4]}").astimezone(UTC)
     except ValueError as e:
-        raise FilterError(f"filter: timestamp {text!r} is not RFC 3339") from e
+        raise FilterError(f"filter: timestamp literal {text!r} is not RFC3339") from e
 
 
 class Parser:
@@ -141,11 +141,14 @@ class Parser:
         return self.postfix()
 
     def args(self, close: str) -> list[tuple]:
+        """Operands up to ``close``; a list may end with a comma, a call may not."""
         out = []
         while self.peek() != close:
             out.append(self.ternary())
             if self.peek() != close:
                 self.take(",")
+                if close == ")" and self.peek() == close:
+                    raise FilterError("filter: invalid filter: expected an operand, found )")
         self.take(close)
         return out
 
@@ -186,7 +189,7 @@ def conjuncts(node: tuple) -> list[tuple]:
     if node[0] == "call" and node[1] == "&&":
         return [x for part in node[3] for x in conjuncts(part)]
     if node[0] == "call" and node[1] in ("||", "?:", "!"):
-        raise FilterError("filter: only AND is allowed")
+        raise FilterError(f"filter: logical operator {node[1]!r} is not supported; only AND is allowed")
     return [node]
 
 
@@ -194,39 +197,49 @@ def literal(node: tuple) -> tuple[str, object]:
     if node[0] == "const":
         if node[1] in ("string", "number"):
             return node[1], node[2]
-        raise FilterError(f"filter: literal {node[1]} is not supported")
+        raise FilterError(f"filter: literal type {node[1]} is not supported")
     if node[0] == "list":
         items = []
         for x in node[1]:
-            if x[0] != "const" or x[1] != "string":
-                raise FilterError("filter: a list holds string literals only")
-            items.append(x[2])
+            kind, value = literal(x)
+            if kind != "string":
+                raise FilterError("filter: list literal elements must be strings")
+            items.append(value)
         return "list", items
     if node[0] == "call" and node[1] == "timestamp" and node[2] is None:
-        if len(node[3]) != 1 or node[3][0][:2] != ("const", "string") or not node[3][0][2]:
-            raise FilterError("filter: timestamp takes one non-empty string literal")
+        if len(node[3]) != 1:
+            raise FilterError("filter: timestamp() expects a single string argument")
+        if node[3][0][0] != "const":
+            raise FilterError("filter: timestamp() argument must be a string literal")
+        if node[3][0][1] != "string" or not node[3][0][2]:
+            raise FilterError("filter: timestamp() argument must not be empty")
         return "timestamp", parse_time(node[3][0][2])
-    raise FilterError("filter: the right side must be a literal")
+    raise FilterError("filter: right-hand side must be a literal, list literal, or timestamp() call")
 
 
 def atom(node: tuple) -> tuple[str, str, str, object]:
     """(field, operator, kind of literal, value)."""
     if node[0] != "call":
-        raise FilterError("filter: expected a comparison")
+        raise FilterError("filter: unsupported expression; expected comparison or function call")
     _, name, target, args = node
     if name in ("==", ">=", "<="):
         left, right = args
     elif name == "in":
-        left, right = args if target is None else (args[0] if args else ("",), target)
-    elif name == "startsWith" and (target is not None and len(args) == 1 or target is None and len(args) == 2):
-        left, right = (target, args[0]) if target is not None else args
-        if right[0] != "const" or right[1] != "string":
-            raise FilterError("filter: startsWith takes a string literal")
+        if len(args) != (2 if target is None else 1):
+            raise FilterError("filter: in operator expects two operands, or one with a receiver")
+        left, right = args if target is None else (args[0], target)
+    elif name == "startsWith":
+        if len(args) != (2 if target is None else 1):
+            raise FilterError("filter: startsWith expects two arguments, or one with a receiver")
+        left, right = args if target is None else (target, args[0])
     else:
-        raise FilterError(f"filter: function {name} is not supported")
+        raise FilterError(f"filter: function {name!r} is not supported")
     if left[0] != "name":
-        raise FilterError("filter: the left side must be a field name")
-    return left[1], name, *literal(right)
+        raise FilterError("filter: left-hand side must be an identifier")
+    kind, value = literal(right)
+    if name == "startsWith" and kind != "string":
+        raise FilterError("filter: startsWith requires a string literal argument")
+    return left[1], name, kind, value
 
 
 def bind_filter(text: str | None, schema: ResourceSchema) -> dict[str, object]:
@@ -235,25 +248,27 @@ def bind_filter(text: str | None, schema: ResourceSchema) -> dict[str, object]:
     if not (text or "").strip():
         return slots
     if not schema.fields:
-        raise FilterError("filter: the schema has no fields")
+        raise FilterError("filter: filter schema has no fields defined")
     for node in conjuncts(Parser(text).parse()):
         name, op, kind, value = atom(node)
         spec = schema.fields.get(name)
         if spec is None:
-            raise FilterError(f"filter: field {name} is not allowed")
+            raise FilterError(f"filter: field {name!r} is not allowed")
         if op not in spec.slots:
-            raise FilterError(f"filter: operator {op} is not allowed for field {name}")
-        if op == "in":
-            if spec.kind != "string" or kind != "list":
-                raise FilterError(f"filter: field {name} takes no list")
-            if not value or "" in value:
-                raise FilterError("filter: a list has items, and no empty ones")
+            raise FilterError(f"filter: operator {op!r} is not allowed for field {name!r}")
+        if op == "in" and spec.kind == "string":
+            if kind != "list":
+                raise FilterError(f"filter: field {name!r}: expected list of string literals")
+            if not value:
+                raise FilterError(f"filter: field {name!r}: list literal must not be empty")
+            if "" in value:
+                raise FilterError(f"filter: field {name!r}: list literal must not contain empty strings")
         elif kind != spec.kind:
-            raise FilterError(f"filter: field {name} takes a {spec.kind} literal")
+            raise FilterError(f"filter: field {name!r}: expected {spec.kind} literal")
         try:
             slots[spec.slots[op]] = spec.coerce(value) if spec.coerce else value
         except (ValueError, OverflowError) as e:
-            raise FilterError(f"filter: field {name}: {e}") from e
+            raise FilterError(f"filter: failed to assign field {spec.slots[op]!r}: {e}") from e
     return slots
 
 
@@ -262,10 +277,12 @@ def to_int(bits: int, signed: bool = True) -> Callable[[float], int]:
 
     def coerce(x: float) -> int:
         if x != int(x):
-            raise ValueError("an integer is expected")
+            raise ValueError(f"cannot assign non-integer value {x} to integer field")
         low, high = (-(1 << bits - 1), (1 << bits - 1) - 1) if signed else (0, (1 << bits) - 1)
+        if not signed and x < 0:
+            raise ValueError(f"cannot assign negative value {x} to unsigned integer field")
         if not low <= x <= high:
-            raise OverflowError("the number overflows the field")
+            raise OverflowError(f"value {x} overflows integer field")
         return int(x)
 
     return coerce
