@@ -9,7 +9,8 @@ from wordloom.operators.lexicon import build_words
 from wordloom.operators.query import lookup
 from wordloom.schemas import USER_WORDS, WORDS
 from wordloom.sources.backup import export, import_tables, select_tables
-from wordloom.sources.store import Store, resolve
+from wordloom.sources.jdbc import resolve
+from wordloom.sources.store import Store
 
 
 def words(spark, *rows):
@@ -82,7 +83,7 @@ def test_store_and_backup(spark, tmp_path):
 
 
 def test_resolve():
-    assert resolve("postgres://h/d")[0] == "jdbc" and resolve("a.db")[1]["url"] == "jdbc:sqlite:a.db" and resolve("/x/y") == ("parquet", {"path": "/x/y"})
+    assert resolve("postgres://h/d")[0] == "jdbc" and resolve("a.db") == ("sqlite", {"path": "a.db"}) and resolve("/x/y") == ("parquet", {"path": "/x/y"})
     assert resolve("host=h dbname=d user=u")[1]["url"] == "jdbc:postgresql://h:5432/d"
 
 

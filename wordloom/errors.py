@@ -23,3 +23,11 @@ class ConstraintError(ValueError):
 
 class BackupError(ValueError):
     """A backup stream that can't be imported."""
+
+
+class InvalidInput(ValueError):
+    """A request that lacks something or says something impossible."""
+
+
+class Rejected(PermissionError):
+    """A mutation that a hook doesn't let through."""

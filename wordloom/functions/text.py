@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, DataType, IntegerType, LongType, ShortType
 
 # Parts of speech, inflection codes, languages.
 POS_TAGS = ["vt", "vi", "adj", "adv", "prep", "pron", "conj", "interj", "int", "num", "art", "aux", "abbr", "pref", "suf", "noun", "n", "v"]
 EXCHANGE_CODES = {"p": "past", "d": "pp", "i": "ing", "3": "3sg", "r": "comparative", "t": "superlative", "s": "plural", "0": "lemma", "1": "variant"}
 LANGUAGES = ["en", "zh", "es", "fr", "de", "ja", "ko"]
+LANGUAGE_ENUM = {"unspecified": "", "english": "en", "chinese": "zh", "spanish": "es", "french": "fr", "german": "de", "japanese": "ja", "korean": "ko"}
 POS_LINE = rf"(?i)^({'|'.join(POS_TAGS)})(?=[. \t])\.?\s*(.*)$"
 
 
@@ -61,10 +65,16 @@ def exchange_code(c: Column) -> Column:
 
 
 def exchange_pairs(c: Column) -> Column:
-    """Array of (code, word) from ``code:word/code:word``; a pair without a code gets ``other``; blank words go."""
+    """Array of (code, word) from ``code:word/code:word``; a pair without a code gets ``other``; blank words go.
+
+    Of pairs with one code and word, whatever its case, the first stays.
+    """
     parts = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "/"), trim), lambda x: x != "")
-    pair = F.transform(parts, lambda x: F.struct(F.when(F.contains(x, F.lit(":")), exchange_code(trim(F.substring_index(x, ":", 1)))).otherwise("other").alias("code"), F.when(F.contains(x, F.lit(":")), trim(F.regexp_replace(x, "^[^:]*:", ""))).otherwise(x).alias("word")))
-    return F.filter(pair, lambda x: x["word"] != "")
+    coded = lambda x: F.contains(x, F.lit(":"))
+    pair = F.transform(parts, lambda x: F.struct(F.when(coded(x), exchange_code(F.substring_index(x, ":", 1))).otherwise("other").alias("code"), F.when(coded(x), trim(F.regexp_replace(x, "^[^:]*:", ""))).otherwise(x).alias("word")))
+    full = F.filter(pair, lambda x: x["word"] != "")
+    keys = F.transform(full, lambda x: F.concat_ws("|", x["code"], F.lower(x["word"])))
+    return F.transform(F.filter(F.arrays_zip(full.alias("pair"), keys.alias("key"), F.sequence(F.lit(1), F.greatest(F.size(full), F.lit(1))).alias("at")), lambda x: x["pair"].isNotNull() & (F.array_position(keys, x["key"]) == x["at"])), lambda x: x["pair"])
 
 
 def normalize_language(c: Column) -> Column:
@@ -82,3 +92,36 @@ def code_or_default(c: Column) -> Column:
 
 def normalize_lemma(c: Column) -> Column:
     return F.nullif(trim(c), F.lit(""))
+
+
+def language_code(c: Column) -> Column:
+    """The code of a language's name (``english`` or ``LANGUAGE_ENGLISH``); '' for names that aren't known."""
+    table = F.create_map(*[F.lit(x) for kv in LANGUAGE_ENUM.items() for x in kv])
+    return F.coalesce(table[F.regexp_replace(F.lower(trim(c)), "^language_", "")], F.lit(""))
+
+
+def language_name(c: Column) -> Column:
+    """The name of a language's code, ``unspecified`` for others."""
+    table = F.create_map(*[F.lit(x) for name, code in LANGUAGE_ENUM.items() if code for x in (code, name)])
+    return F.coalesce(table[parse_language(c)], F.lit("unspecified"))
+
+
+def definition_language(c: Column) -> Column:
+    """The language of a definition's text: English unless a known one is named."""
+    return F.coalesce(F.nullif(parse_language(F.coalesce(c, F.lit(""))), F.lit("")), F.lit("en"))
+
+
+WIDTHS = {ByteType: 8, ShortType: 16, IntegerType: 32, LongType: 64}
+
+
+def narrow(value: int, kind: DataType, name: str) -> Column:
+    """A whole number as a column of a width; out of its range is an error."""
+    bits = WIDTHS[type(kind)]
+    if not -(1 << bits - 1) <= value < 1 << bits - 1:
+        raise ValueError(f"{name} value {value} out of range")
+    return F.lit(value).cast(kind)
+
+
+def cache_name(url: str) -> str:
+    """Name of a download's cache file: the address's crc32 in hexadecimal and its last part."""
+    return f"{zlib.crc32(url.encode()):08x}-{url.rstrip('/').rsplit('/', 1)[-1]}"

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.functions.text import all_empty, exchange_pairs, is_single_word, leading_pos, pos_with_dot, split_lines, tags, trim
+from wordloom.sources.jdbc import read_source
 
 
 def clean(raw: DataFrame) -> DataFrame:
@@ -14,10 +15,23 @@ def clean(raw: DataFrame) -> DataFrame:
     return r.filter((F.col("word") != "") & is_single_word(F.col("word")) & ~all_empty(*(F.col(c) for c in ("phonetic", "definition", "translation", "tag", "exchange"))))
 
 
+#: Columns of a dictionary source, all strings.
+SOURCE_COLUMNS = ["word", "phonetic", "definition", "pos", "translation", "exchange", "tag"]
+
+
+def load_source(spark: SparkSession, dsn: str, table: str = "stardict") -> DataFrame:
+    """A dictionary from any data source, with its columns checked; ``ordinal`` is the source's own or the order of reading."""
+    raw = read_source(spark, dsn, table)
+    if missing := [c for c in SOURCE_COLUMNS if c not in raw.columns]:
+        raise ValueError(f"the dictionary lacks the columns {', '.join(missing)}")
+    ordinal = F.col("ordinal").cast("long") if "ordinal" in raw.columns else F.monotonically_increasing_id()
+    return raw.select(*(F.col(c).cast("string").alias(c) for c in SOURCE_COLUMNS), ordinal.alias("ordinal"))
+
+
 def inflections(entries: DataFrame) -> DataFrame:
-    """``(form, lemma, form_type)``: for each form the first entry that names it; ``0`` and ``1`` pairs name no form."""
+    """``(form, lemma, form_type)``: for each form the first entry that names it; ``0`` pairs and an entry's own word name no form."""
     pairs = entries.select(F.col("word").alias("lemma"), "ordinal", F.posexplode(exchange_pairs(F.col("exchange"))).alias("at", "pair"))
-    named = pairs.where(~F.col("pair.code").isin("lemma", "variant")).select(F.lower("pair.word").alias("form"), "lemma", F.col("pair.code").alias("code"), "ordinal", "at")
+    named = pairs.where((F.col("pair.code") != "lemma") & (F.lower("pair.word") != F.lower("lemma"))).select(F.lower("pair.word").alias("form"), "lemma", F.col("pair.code").alias("code"), "ordinal", "at")
     return named.groupBy("form").agg(F.min_by(F.struct("lemma", "code"), F.struct("ordinal", "at")).alias("m")).select("form", F.col("m.lemma").alias("lemma"), F.col("m.code").alias("form_type"))
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordloom.errors import ConstraintError
+from wordloom.errors import ConstraintError, NotFound
+from wordloom.functions.text import code_or_default, narrow, normalize_language, normalize_lemma, trim
+from wordloom.scratch import materialise
 
 
 def last_by_key(source: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
@@ -48,12 +50,42 @@ def delete_where(df: DataFrame, cond: Column) -> DataFrame:
     return df.filter(~F.coalesce(cond, F.lit(False)))
 
 
-def with_ids(rows: DataFrame, start: int, order: list[str]) -> DataFrame:
-    """Consecutive ids from ``start`` in the given order: ranges are sorted, counted, and numbered from their offsets."""
-    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+def update_counted(df: DataFrame, cond: Column, values: dict[str, Column]) -> tuple[DataFrame, int]:
+    """The updated table and how many rows the condition hits."""
+    return update_where(df, cond, values), df.filter(cond).count()
+
+
+def delete_counted(df: DataFrame, cond: Column) -> tuple[DataFrame, int]:
+    """What is left, and how many rows the condition takes away."""
+    return delete_where(df, cond), df.filter(cond).count()
+
+
+def affected(result: tuple[DataFrame, int], what: str = "row") -> DataFrame:
+    """The table of a counted mutation; an error if it hit nothing."""
+    df, n = result
+    if not n:
+        raise NotFound(f"{what} not found")
+    return df
+
+
+def with_ids(rows: DataFrame, start: int | Column, order: list[str]) -> DataFrame:
+    """Consecutive ids from ``start`` in the given order.
+
+    Ranges are sorted and written once with their partition and place: a plan that is evaluated twice may draw its
+    ranges differently.  Partitions are then counted, and rows numbered from their partition's offset.
+    """
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = placed.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    parts = materialise(placed, "ids")
     sizes = parts.groupBy("__p").agg(F.count("*").alias("n"))
     base = sizes.withColumn("__base", F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))).select("__p", F.coalesce("__base", F.lit(0)).alias("__base"))  # a row a partition
-    return parts.join(F.broadcast(base), "__p").select((F.col("__base") + F.col("__i") + start).alias("id"), *(c for c in rows.columns if c != "id"))
+    first = F.lit(start) if isinstance(start, int) else start
+    return parts.join(F.broadcast(base), "__p").select((F.col("__base") + F.col("__i") + first).alias("id"), *(c for c in rows.columns if c != "id"))
+
+
+def next_id(df: DataFrame) -> DataFrame:
+    """One row ``next_id``: one more than the largest id."""
+    return df.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("next_id"))
 
 
 def check_constraints(df: DataFrame, keys: list[tuple[str, ...]], lemma_rule: bool = False) -> None:
@@ -66,47 +98,66 @@ def check_constraints(df: DataFrame, keys: list[tuple[str, ...]], lemma_rule: bo
 
 def normalize_words(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected): text is required, other rows than lemmas need a lemma, lemma rows have none."""
-    from wordloom.functions.text import code_or_default, normalize_lemma, trim
-
     r = rows.withColumns({"text": trim(F.coalesce("text", F.lit(""))), "language": code_or_default(F.coalesce("language", F.lit(""))), "word_type": F.coalesce(F.nullif(trim(F.col("word_type")), F.lit("")), F.lit("lemma")), "lemma": normalize_lemma(F.coalesce("lemma", F.lit("")))})
     r = r.withColumn("lemma", F.when(F.col("word_type") != "lemma", F.col("lemma")))
     ok = (F.col("text") != "") & ((F.col("word_type") == "lemma") | F.col("lemma").isNotNull())
     return r.filter(ok), r.filter(~ok)
 
 
-def collect_words(user_words: DataFrame, events: DataFrame, now: Column) -> DataFrame:
-    """Fold collect events ``(user_id, word, ordinal, language, notes, mastery_overall)`` into the table.
+#: Columns that a collect replaces as a whole, with what stands for an absent value.
+MASTERY = {f"mastery_{k}": 0 for k in ("listen", "read", "spell", "pronounce", "overall")}
+REVIEW = {"review_last_review_at": None, "review_next_review_at": None, "review_interval_days": 0, "review_fail_count": 0}
+
 
-    A hit adds to query_count and takes the last mastery, and the last non-empty language and notes; a miss is created.
+def collect_words(user_words: DataFrame, events: DataFrame, now: Column, first_id: int | Column | None = None) -> DataFrame:
+    """Fold collect events ``(user_id, word, ordinal, ...)`` into the table, as if they came one by one.
+
+    A hit (the smallest id of that user and exact word) adds to query_count, replaces all of mastery and review by those
+    of the last event, and takes the last language and notes that aren't empty; a miss is created.  Events without a word are left out.
+    ``first_id``: the first id of new rows; by default one more than the largest.
     """
-    e = events.withColumn("word", F.trim("word")).filter("word <> ''")
-    said = [F.max_by(F.nullif(F.col(c), F.lit("")), F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col("ordinal"))).alias(f"__{c}") for c in ("language", "notes")]
-    folded = e.groupBy("user_id", "word").agg(F.count("*").alias("__n"), F.max_by("mastery_overall", "ordinal").alias("__mastery"), *said)
+    have = set(events.columns)
+    e = events.withColumn("word", trim(F.col("word"))).filter("word <> ''")
+    whole = {c: F.coalesce(c, F.lit(none)) if c in have else F.lit(none) for c, none in (MASTERY | REVIEW).items() if c in user_words.columns}
+    whole = {c: v.cast(user_words.schema[c].dataType) for c, v in whole.items()}
+    said = {
+        "language": F.when(trim(F.coalesce("language", F.lit(""))) != "", normalize_language(F.col("language"))) if "language" in have else F.lit(None).cast("string"),
+        "notes": F.nullif(F.col("notes"), F.lit("")) if "notes" in have else F.lit(None).cast("string"),
+    }
+    e = e.select("user_id", "word", "ordinal", F.struct(*(v.alias(c) for c, v in whole.items())).alias("w"), *(v.alias(c) for c, v in said.items()))
+    last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("ordinal"))).alias(f"__{c}") for c in said]
+    folded = e.groupBy("user_id", "word").agg(F.count("*").alias("__n"), F.max_by("w", "ordinal").alias("__w"), *last)
     first = user_words.groupBy("user_id", "word").agg(F.min("id").alias("id"))
     hits = first.join(folded, ["user_id", "word"])
     old = user_words.join(hits.drop("user_id", "word"), "id", "left")
     hit = F.col("__n").isNotNull()
-    changed = old.withColumns({
+    changes = {c: F.when(hit, F.col("__w")[c]).otherwise(F.col(c)) for c in whole} | {
         "query_count": F.when(hit, F.coalesce("query_count", F.lit(0)) + F.col("__n")).otherwise(F.col("query_count")),
-        "language": F.coalesce("__language", "language"), "notes": F.coalesce("__notes", "notes"),
-        "mastery_overall": F.when(hit, F.coalesce("__mastery", F.lit(0)).cast("int")).otherwise(F.col("mastery_overall")),
+        "language": F.coalesce("__language", "language"),
+        "notes": F.coalesce("__notes", "notes"),
         "updated_at": F.when(hit, now).otherwise(F.col("updated_at")),
-    }).select(user_words.columns)
+    }
+    changed = old.withColumns(changes).select(user_words.columns)
     fresh = folded.join(first, ["user_id", "word"], "left_anti")
-    values = {"language": F.coalesce("__language", F.lit("en")), "query_count": F.col("__n"), "notes": F.col("__notes"), "mastery_overall": F.coalesce("__mastery", F.lit(0)).cast("int"), "created_by": F.lit("user"), "created_at": now, "updated_at": now}
-    top = (user_words.agg(F.max("id")).first()[0] or 0) + 1
-    rows = with_ids(fresh.select("user_id", "word", *(v.alias(c) for c, v in values.items())), top, ["user_id", "word"])
+    values = {c: F.col("__w")[c] for c in whole} | {"language": F.coalesce("__language", F.lit("en")), "query_count": F.col("__n"), "notes": F.col("__notes"), "created_by": F.lit("user"), "created_at": now, "updated_at": now}
+    values |= {c: F.array() for c in ("sentences", "relations") if c in user_words.columns} | ({"mastery_use": F.lit(0)} if "mastery_use" in user_words.columns else {})
+    start = first_id if first_id is not None else next_id(user_words).scalar()
+    rows = with_ids(fresh.select("user_id", "word", *(v.alias(c) for c, v in values.items())), start, ["user_id", "word"])
     rows = rows.select(*((F.col(c) if c in rows.columns else F.lit(None)).cast(user_words.schema[c].dataType).alias(c) for c in user_words.columns))
     return changed.union(rows)
 
 
-def update_mastery(user_words: DataFrame, id: int, mastery: dict[str, int], now: Column, review: dict | None = None, notes: str | None = None) -> DataFrame:
-    """Replace mastery and review of one row; without a review its times are cleared and its counters zeroed."""
+def update_mastery(user_words: DataFrame, id: int, mastery: dict[str, int], now: Column, review: dict | None = None, notes: str | None = None, user_id: int | None = None) -> DataFrame:
+    """Replace mastery and review of one row of a user; without a review its times are cleared and its counters zeroed.
+
+    ``user_id``: None for whichever user the row is of.  A row that isn't there is an error, and so is a value out of its column's range.
+    """
     review = review or {}
-    values = {f"mastery_{k}": F.lit(mastery.get(k, 0)).cast(user_words.schema[f"mastery_{k}"].dataType) for k in ("listen", "read", "spell", "pronounce", "overall") if f"mastery_{k}" in user_words.columns}
-    for c, kind in (("review_last_review_at", "timestamp"), ("review_next_review_at", "timestamp"), ("review_interval_days", "int"), ("review_fail_count", "int")):
-        if c in user_words.columns:
-            values[c] = F.lit(review.get(c, None if kind == "timestamp" else 0)).cast(kind)
+    values = {c: narrow(mastery.get(c.removeprefix("mastery_"), none), user_words.schema[c].dataType, c) for c, none in MASTERY.items() if c in user_words.columns}
+    values |= {c: F.lit(review.get(c, none)).cast(user_words.schema[c].dataType) for c, none in REVIEW.items() if c in user_words.columns}
     if notes:
         values["notes"] = F.lit(notes)
-    return update_where(user_words, F.col("id") == id, values | {"updated_at": now})
+    cond = F.col("id") == id
+    if user_id is not None:
+        cond = cond & (F.col("user_id") == user_id)
+    return affected(update_counted(user_words, cond, values | {"updated_at": now}), "user word")

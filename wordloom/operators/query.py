@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.errors import InvalidInput
 from wordloom.functions.text import contains_fold
 from wordloom.plans.filterexpr import ResourceSchema, bind_filter, normalize_set
 from wordloom.plans.ordering import sort_columns
@@ -39,9 +40,13 @@ def predicate(slots: dict[str, object], text: str = "text", word_type: str = "wo
     return out
 
 
-def list_rows(df: DataFrame, schema: ResourceSchema, filter: str = "", order_by: str = "", page: Page = Page(), *, text: str = "text", word_type: str = "word_type", id_column: str = "id", columns: dict[str, str] | None = None, user_id: int | None = None, exact_first: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(page of rows, one-row table ``total``), both lazy and over the same filter."""
+def list_rows(df: DataFrame, schema: ResourceSchema, filter: str = "", order_by: str = "", page: Page = Page(), *, text: str = "text", word_type: str = "word_type", id_column: str = "id", columns: dict[str, str] | None = None, user_id: int | None = None, exact_first: bool | None = None) -> tuple[DataFrame, DataFrame]:
+    """(page of rows, one-row table ``total``), both lazy and over the same filter.
+
+    Rows whose text is the keyword come first, unless the rows are of one user or ``exact_first`` says otherwise.
+    """
     slots = bind_filter(filter, schema)
+    exact_first = user_id is None if exact_first is None else exact_first
     found = df.filter(predicate(slots, text, word_type))
     if user_id is not None:
         found = found.filter(F.col("user_id") == user_id)
@@ -52,7 +57,9 @@ def list_rows(df: DataFrame, schema: ResourceSchema, filter: str = "", order_by:
 
 
 def lookup(words: DataFrame, text: str, language: str = "en") -> DataFrame:
-    """The row of a text, lemma rows first, then the smallest id; its forms if it is a lemma.  No row on a miss."""
+    """The row of a text, lemma rows first, then the smallest id; its forms if it is a lemma.  No row on a miss; a blank text is an error."""
+    if not text.strip():
+        raise InvalidInput("invalid word text")
     hit = words.where((F.col("text") == text.strip()) & (F.col("language") == (language or "en")))
     hit = hit.orderBy(F.when(F.col("word_type") == "lemma", 0).otherwise(1), "id").limit(1)
     return hit.join(forms_by_lemma(words.where((F.col("lemma") == text.strip()) & (F.col("language") == (language or "en")))), (F.col("word_type") == "lemma") & (hit["text"] == F.col("__lemma")) & (hit["language"] == F.col("__language")), "left").drop("__lemma", "__language")
