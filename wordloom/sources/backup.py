@@ -189,10 +189,10 @@ def received(spark: SparkSession, path: str, gzip: bool = False) -> Iterator[str
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """``(type, payload, value, at)``; ``at`` orders lines by file and place, however the files are read."""
-    lines = spark.read.option("recursiveFileLookup", "true").text(path).select("value", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"))
+    """``(type, payload, value, __at)``; ``__at`` orders lines by file and place, however the files are read."""
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select("value", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("__at"))
     lines = lines.where(F.trim("value") != "")
-    return lines.select(F.get_json_object("value", "$.type").alias("type"), F.get_json_object("value", "$.payload").alias("payload"), "value", "at")
+    return lines.select(F.get_json_object("value", "$.type").alias("type"), F.get_json_object("value", "$.payload").alias("payload"), "value", "__at")
 
 
 def parsed(raw: Column, kind: DataType) -> Column:
@@ -223,7 +223,7 @@ def import_tables(spark: SparkSession, path: str, targets: dict[str, DataFrame],
     records, progress = read_records(spark, path), progress or Silent()
     if bad := records.where(F.try_parse_json("value").isNull()).select("value").take(1):
         raise BackupError(f"decode record: {bad[0].value[:80]!r} is not JSON")
-    metas = [json.loads(r.value) for r in records.where("type = 'meta'").orderBy(F.desc("at")).select("value").take(1)]  # the last one counts
+    metas = [json.loads(r.value) for r in records.where("type = 'meta'").orderBy(F.desc("__at")).select("value").take(1)]  # the last one counts
     wanted = select_tables(names, targets)
     out = {}
     for name in wanted:
@@ -235,20 +235,20 @@ def import_tables(spark: SparkSession, path: str, targets: dict[str, DataFrame],
         if unknown:
             raise BackupError(f"column {unknown[0].k} not found in table {name}")
         texts = StructType([StructField(f.name, StringType()) for f in target.schema])
-        raw = rows.select(F.from_json("payload", texts).alias("r"), F.json_object_keys("payload").alias("__has"), "at")
+        raw = rows.select(F.from_json("payload", texts).alias("r"), F.json_object_keys("payload").alias("__has"), "__at")
         # an empty time is an absent one
         value = {f.name: F.when(F.col("r")[f.name] != "", F.col("r")[f.name]) if f.dataType.typeName().startswith("timestamp") else F.col("r")[f.name] for f in target.schema}
         lost = F.coalesce(*(F.when(value[f.name].isNotNull() & parsed(value[f.name], f.dataType).isNull(), F.concat(F.lit(f"{name}.{f.name}: invalid value "), value[f.name])) for f in target.schema))
         if wrong := raw.select(lost.alias("e")).where("e IS NOT NULL").take(1):
             raise BackupError(f"convert {wrong[0].e}")
-        filled = raw.select(*(default(parsed(value[f.name], f.dataType), f, name).alias(f.name) for f in target.schema), "__has", "at")
+        filled = raw.select(*(default(parsed(value[f.name], f.dataType), f, name).alias(f.name) for f in target.schema), "__has", "__at")
         needed = [f.name for f in target.schema if f.dataType.typeName().startswith("timestamp") and f.name not in NULLABLE.get(name, ())]
         for column in needed:
             if not filled.where(F.col(column).isNull()).isEmpty():
                 raise BackupError(f"missing required value for {name}.{column}")
         key = list(UNIQUE.get(name, [(target.columns[0],)])[0])
         progress.start(name, rows.count() if not isinstance(progress, Silent) else 0)
-        out[name] = merged(target, last_by_key(filled, key, "at").drop("at"), key)
+        out[name] = merged(target, last_by_key(filled, key, "__at").drop("__at"), key)
         progress.finish(name)
     if not metas:
         raise BackupError("missing meta record")
