@@ -5,9 +5,11 @@ the smallest page id is a response, the others revisit it.  The capture index ha
 reversed-host URL key; lines go into compressed blocks, and a sparse directory has the first key, place and length of
 every block.  A look-up searches the directory, reads the blocks that can hold the key, and then the records' ranges.
 
-Defined results: a null html is an empty payload; a null url is written as ``urn:page:<id>``; rows without a page id
-are left out; a row that is repeated is written again, as a response if its id is the smallest with that payload; payloads
-under ``min_bytes`` are never revisits; extra columns are ignored; an empty table writes nothing.
+Defined results: a null html is an empty payload; a payload of any length is one record; a null url is written as
+``urn:page:<id>``; rows without a page id are left out; every row is a record, so a row that is repeated is written
+again, as a response if its id is the smallest with that payload, and rows of one page id with different payloads each
+go by their own; payloads under ``min_bytes`` are never revisits; extra columns, whatever their names, are ignored; an
+empty table writes nothing and reads as no rows.
 """
 
 from __future__ import annotations
@@ -26,13 +28,15 @@ from urllib.parse import quote, urlsplit
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.shared import fresh_path, materialise, text_slices
+from wordloom.llm.shared import fresh_path, map_in_arrow, materialise, text_slices
 
 DATE = "2000-01-01T00:00:00Z"
 BLOCK_LINES = 512
+#: Records of a file that are read at once, and the gap between two that is read over.
+READ_BYTES, GAP_BYTES = 4 << 20, 64 << 10
 LEVEL = 4
 
 
@@ -95,20 +99,23 @@ def members(raw: bytes | memoryview) -> Iterator[tuple[int, int, bytes]]:
         at += length
 
 
-def revisits(pages: DataFrame, min_bytes: int, id_col: str, text_col: str) -> DataFrame:
-    """``(page_id, refers_to)`` of the pages whose payload has a smaller id elsewhere.
+def digest_of(html: Column) -> Column:
+    return F.sha1(html.cast("binary"))
+
+
+def revisits(rows: DataFrame, min_bytes: int) -> DataFrame:
+    """``(page_id, d, refers_to)`` of the pages and payload digests that have a smaller id elsewhere, over rows ``(page_id, html)``.
 
     Groups of copies are only counted; the join back spreads a group over salts, so a payload that a third of the pages
     share does not meet in one task.
     """
     salts = 32
-    known = pages.select(F.col(id_col).cast("long").alias("page_id"), F.sha1(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("d"), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).alias("n"))
-    known = known.where((F.col("n") >= min_bytes) & F.col("page_id").isNotNull()).select("page_id", "d")
+    known = rows.where(F.octet_length("html") >= min_bytes).select("page_id", digest_of(F.col("html")).alias("d"))
     groups = known.groupBy("d").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
     groups = groups.select("d", "refers_to", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > salts, salts - 1).otherwise(0))).alias("salt"), (F.col("n") > salts).alias("wide"))
     keyed = known.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int"))
-    spread = keyed.join(groups.where("wide"), ["d", "salt"]).select("page_id", "refers_to")
-    small = keyed.drop("salt").join(groups.where("not wide"), "d").select("page_id", "refers_to")
+    spread = keyed.join(groups.where("wide"), ["d", "salt"]).select("page_id", "d", "refers_to")
+    small = keyed.drop("salt").join(groups.where("not wide"), "d").select("page_id", "d", "refers_to")
     return spread.union(small).where("page_id > refers_to").distinct()
 
 
@@ -117,7 +124,8 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id"
     spark = pages.sparkSession
     path = path or fresh_path(spark, "warc")
     rows = pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(text_col), F.lit("")).alias("html"))
-    rows = rows.join(revisits(pages, min_bytes, id_col, text_col), "page_id", "left")
+    found = revisits(rows, min_bytes).withColumnRenamed("page_id", "own")
+    rows = rows.join(found, (F.col("page_id") == F.col("own")) & (digest_of(F.col("html")) == F.col("d")), "left").select("page_id", "url", "html", "refers_to")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -143,7 +151,7 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id"
                 batch = next(batches, None)
         store.move(draft, posixpath.join(root, name))
 
-    return path, materialise(rows.mapInArrow(write, "key string, page_id long, file string, offset long, length long"), "warc-captures")
+    return path, materialise(map_in_arrow(rows, write, "key string, page_id long, file string, offset long, length long"), "warc-captures")
 
 
 def write_index(path: str, captures: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
@@ -174,7 +182,7 @@ def write_index(path: str, captures: DataFrame, block_lines: int = BLOCK_LINES)
         yield pa.record_batch([pa.array(keys), pa.array(names), pa.array(offsets, pa.int64()), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], ["key", "file", "offset", "length", "lines"])
 
     placed = captures.repartitionByRange(parts, "key", "page_id", "file", "offset").sortWithinPartitions("key", "page_id", "file", "offset")
-    return materialise(placed.mapInArrow(write, "key string, file string, offset long, length long, lines long"), "warc-directory")
+    return materialise(map_in_arrow(placed, write, "key string, file string, offset long, length long, lines long"), "warc-directory")
 
 
 class CaptureIndex:
@@ -203,31 +211,76 @@ class CaptureIndex:
         return [zlib.decompress(self.fetch(*c[2:]), 31) for c in self.captures(url)]
 
 
-def read_archives(path: str, directory: DataFrame) -> DataFrame:
-    """Every record, read through the index: a block's captures are fetched from the archives by range."""
+def read_captures(path: str, directory: DataFrame) -> DataFrame:
+    """Every line of the index, ``(page_id, file, offset, length)``, a block at a time."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = pa.fs.FileSystem.from_uri(path)
-        opened: dict[str, pa.NativeFile] = {}
+        ranges = RangeReader(path)
+        for batch in batches:
+            for place in zip(*(batch.column(k).to_pylist() for k in ("file", "offset", "length")), strict=True):
+                lines = [json.loads(x)[1:] for x in gzip.decompress(ranges.fetch(*place)).decode("utf-8", "surrogatepass").splitlines()]
+                ids, files, offsets, sizes = zip(*lines, strict=True)
+                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(files), pa.array(offsets, pa.int64()), pa.array(sizes, pa.int64())], ["page_id", "file", "offset", "length"])
+        ranges.close()
+
+    spread = directory.repartition(int(directory.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return map_in_arrow(spread, read, "page_id long, file string, offset long, length long")
+
+
+class RangeReader:
+    """Ranges of the files of a folder, one file open at a time."""
+
+    def __init__(self, path: str):
+        self.store, self.root = pa.fs.FileSystem.from_uri(path)
+        self.name, self.file = None, None
 
-        def fetch(file: str, offset: int, length: int) -> bytes:
-            if file not in opened:
-                if len(opened) >= 64:
-                    opened.pop(next(iter(opened))).close()
-                opened[file] = store.open_input_file(posixpath.join(root, file))
-            return opened[file].read_at(length, offset)
+    def fetch(self, name: str, offset: int, length: int) -> bytes:
+        if name != self.name:
+            self.close()
+            self.name, self.file = name, self.store.open_input_file(posixpath.join(self.root, name))
+        return self.file.read_at(length, offset)
 
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
+            self.name = self.file = None
+
+
+def runs_of(places: list[tuple[str, int, int]]) -> Iterator[list[tuple[str, int, int]]]:
+    """Sorted places in runs that one read brings in: of one file, near one another, ``READ_BYTES`` together unless it's one."""
+    held: list[tuple[str, int, int]] = []
+    for place in places:
+        if held and (place[0] != held[-1][0] or place[1] - held[-1][1] - held[-1][2] > GAP_BYTES or place[1] + place[2] - held[0][1] > READ_BYTES):
+            yield held
+            held = []
+        held.append(place)
+    if held:
+        yield held
+
+
+def read_archives(path: str, directory: DataFrame) -> DataFrame:
+    """Every record that the index names, checked against its digest.
+
+    The index's lines are dealt out by file and offset, so archives are read in order, neighbouring records together.
+    """
+
+    def described(raw: bytes) -> tuple:
+        head, http, payload = parse(zlib.decompress(raw, 31))
+        if head["WARC-Type"] == "response" and (len(payload) != int(http["Content-Length"]) or payload_digest(payload) != head["WARC-Payload-Digest"][5:]):
+            raise ValueError(f"{head['WARC-Record-ID']}: the payload differs from its record")
+        own, to = (re.fullmatch(r"<urn:page:(-?\d+)>", head.get(k, "")) for k in ("WARC-Record-ID", "WARC-Refers-To"))
+        return int(own[1]), int(http["Content-Length"]), head["WARC-Payload-Digest"][5:], head["WARC-Type"], int(to[1]) if to else None
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranges = RangeReader(path)
         for batch in batches:
-            for file, offset, length in zip(*(batch.column(k).to_pylist() for k in ("file", "offset", "length")), strict=True):
-                out = []
-                for line in gzip.decompress(fetch(file, offset, length)).decode("utf-8", "surrogatepass").splitlines():
-                    _, page_id, archive, at, size = json.loads(line)
-                    head, http, payload = parse(zlib.decompress(fetch(archive, at, size), 31))
-                    if head["WARC-Type"] == "response" and (len(payload) != int(http["Content-Length"]) or payload_digest(payload) != head["WARC-Payload-Digest"][5:]):
-                        raise ValueError(f"page {page_id}: the payload differs from its record")
-                    own, to = (re.fullmatch(r"<urn:page:(-?\d+)>", head.get(k, "")) for k in ("WARC-Record-ID", "WARC-Refers-To"))
-                    out.append((int(own[1]), int(http["Content-Length"]), head["WARC-Payload-Digest"][5:], head["WARC-Type"], int(to[1]) if to else None))
-                ids, sizes, digests, kinds, refers = zip(*out, strict=True)
+            for run in runs_of(list(zip(*(batch.column(k).to_pylist() for k in ("file", "offset", "length")), strict=True))):
+                first = run[0][1]
+                raw = ranges.fetch(run[0][0], first, run[-1][1] + run[-1][2] - first)
+                ids, sizes, digests, kinds, refers = zip(*(described(raw[at - first : at - first + n]) for _, at, n in run), strict=True)
                 yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests), pa.array(kinds), pa.array(refers, pa.int64())], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+        ranges.close()
 
-    return directory.repartition(int(directory.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    parts = int(directory.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = read_captures(path, directory).repartitionByRange(parts, "file", "offset").sortWithinPartitions("file", "offset")
+    return map_in_arrow(placed, read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
