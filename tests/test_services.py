@@ -22,6 +22,7 @@ from wordloom.plans.ordering import bind
 from wordloom.schemas import USER_WORDS, WORDS
 from wordloom.sources import backup, jdbc
 from wordloom.sources.store import Store, ddl
+from wordloom.streaming.collect import collect_stream
 
 
 @pytest.fixture
@@ -248,6 +249,18 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
         load_source(spark, str(tmp_path / "few"))
 
 
+def test_collect_stream(spark, store, tmp_path):
+    kind = "user_id long, word string, ordinal long, language string, notes string, mastery_overall int"
+    spark.createDataFrame([(1, "a", 1, "fr", None, 5), (1, "b", 2, None, "n", 6)], kind).write.parquet(str(tmp_path / "in"))
+    run = lambda: collect_stream(spark.readStream.schema(kind).parquet(str(tmp_path / "in")), store, str(tmp_path / "checkpoint")).awaitTermination()
+    run()
+    spark.createDataFrame([(1, "a", 3, None, "later", 9)], kind).write.mode("append").parquet(str(tmp_path / "in"))
+    run()
+    run()  # nothing new
+    got = {r.word: (r.id, r.query_count, r.language, r.notes, r.mastery_overall) for r in store.read("user_words").collect()}
+    assert got == {"a": (1, 2, "fr", "later", 9), "b": (2, 1, "en", "n", 6)}
+
+
 def test_sqlite_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(i, f"t{i}", [f"x{i}"]) for i in range(2500)], "id long, text string, tags array<string>")
     path = f"sqlite://{tmp_path}/w.db"

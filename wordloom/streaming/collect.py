@@ -14,6 +14,6 @@ def collect_stream(events: DataFrame, store: Store, checkpoint: str, **trigger)
     """Each micro-batch becomes one snapshot."""
 
     def fold(batch: DataFrame, _: int) -> None:
-        store.write({"user_words": collect_words(store.read("user_words"), batch, F.current_timestamp())})
+        store.write({"user_words": collect_words(store.read("user_words"), batch, F.current_timestamp(), store.next_id("user_words"))})
 
     return events.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
