@@ -19,8 +19,9 @@ Shingles that a bounded sample shows to be very frequent are counted as repeated
 work only, since any total order of shingles gives the same links.
 
 Defined results: null, empty and all-space texts have no shingles and link with nothing; a text of fewer words than a
-shingle is one shingle; a repeated row is in its copy's component; rows without an id are left out; ties go to the
-smallest id; extra columns are ignored; an empty table gives no rows.
+shingle is one shingle; a text of any length has all its shingles; a repeated row is in its copy's component; rows of one
+id with different texts are a document each; rows without an id are left out; ties go to the smallest id; extra columns,
+whatever their names, are ignored by ``join_components`` and kept by ``one_of_each``; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.llm.components import connected_components
-from wordloom.llm.shared import bounded_sample, filtered, id_filter, map_batches, materialise, text_slices
+from wordloom.llm.shared import bounded_sample, filtered, grouped, id_filter, map_batches, map_in_arrow, materialise, screened, spotted, text_slices
 
 #: Documents looked at for very frequent shingles, about, at most; a shingle in HOT_DOCS of them is one; at most MAX_HOT.
 SAMPLE_DOCS, HOT_DOCS, MAX_HOT = 4_096, 8, 1 << 16
@@ -41,8 +42,10 @@ SAMPLE_DOCS, HOT_DOCS, MAX_HOT = 4_096, 8, 1 << 16
 EXTRA = 0.07
 #: Members of a group of a large block, and pivots that all its groups get, on average.
 GROUP, PIVOTS = 64, 8
-#: Bytes of (shingle, fingerprint) pairs that a task holds before it sends them on.
-FLUSH_BYTES = 64 << 20
+#: Bytes of (shingle, fingerprint) pairs that a task holds before it sends them on, and that a bucket holds about.
+FLUSH_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
+#: Bytes of text whose shingles are made at once; the arrays take about sixty times as much.
+SLICE = 256 << 10
 SIGNATURE_WORDS, FANOUT = 16, 8
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -126,12 +129,27 @@ def as_long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
 
 
-def packed(bucket: np.ndarray, rows: np.ndarray, name: str) -> pa.RecordBatch:
-    """One row a bucket, with the bucket's rows end to end as bytes."""
-    order = np.argsort(bucket, kind="stable")
-    at, rows = bucket[order].astype(np.int32), rows[order]
-    heads = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return pa.record_batch([pa.array(at[heads]), pa.array([x.tobytes() for x in np.split(rows, heads[1:])], pa.binary())], ["bucket", name])
+def packed(rows: Iterator[np.ndarray], buckets: int, name: str) -> Iterator[pa.RecordBatch]:
+    """Rows of 64-bit integers, dealt by the first of them: one row a bucket and ``FLUSH_BYTES``, with the bucket's rows end to end as bytes."""
+
+    def flush() -> pa.RecordBatch:
+        both = np.concatenate(held)
+        bucket = (both[:, 0] % U64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        at, both = bucket[order], both[order]
+        heads = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        return pa.record_batch([pa.array(at[heads]), pa.array([x.tobytes() for x in np.split(both, heads[1:])], pa.binary())], ["bucket", name])
+
+    held, size = [], 0
+    for some in rows:
+        if len(some):
+            held.append(some)
+            size += some.nbytes
+        if size >= FLUSH_BYTES:
+            yield flush()
+            held, size = [], 0
+    if held:
+        yield flush()
 
 
 class SignatureTree:
@@ -215,23 +233,10 @@ def tree_join(left: SignatureTree, right: SignatureTree, forest: Forest, num: in
                     forest.join(u, v + shift)
 
 
-def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
-    """Runs of rows with equal values in the first ``keys`` columns, across batches."""
-    held, last = [], None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:keys]]
-        cuts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cols])) + 1
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
-            key = tuple(int(c[a]) for c in cols)
-            if held and key != last:
-                yield last, held
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = key
-    if held:
-        yield last, held
+def buckets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    """The packed rows of one bucket after another; the batches are sorted by bucket."""
+    for _, held in grouped(batches, 1):
+        yield [x for b in held for x in b.column(1).to_pylist()]
 
 
 class Join:
@@ -244,6 +249,7 @@ class Join:
         self.spark = rows.sparkSession
         self.parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.hot = self.spark.sparkContext.broadcast(self.frequent())
+        self.buckets = self.parts
 
     def frequent(self) -> np.ndarray:
         width = self.width
@@ -255,7 +261,7 @@ class Join:
 
             return tokens
 
-        counts = map_batches(bounded_sample(self.rows, "id", SAMPLE_DOCS), "text", "token long, n long", make).groupBy("token").agg(F.sum("n").alias("n"))
+        counts = map_batches(bounded_sample(self.rows, "id", SAMPLE_DOCS), "text", "token long, n long", make, SLICE).groupBy("token").agg(F.sum("n").alias("n"))
         top = counts.where(F.col("n") >= HOT_DOCS).orderBy(F.desc("n"), "token").limit(MAX_HOT).collect()
         return np.sort(np.array([r.token for r in top], np.int64).view(np.uint64))
 
@@ -275,21 +281,18 @@ class Join:
 
             return describe
 
-        return map_batches(self.rows, "text", "id long, fp long, n long, need long", make)
+        return map_batches(self.rows, "text", "id long, fp long, n long, need long", make, SLICE)
 
-    def pairs(self, rows: DataFrame, prefix_only: bool) -> DataFrame:
-        """``(bucket, pairs)``: (shingle, fingerprint) pairs of the texts' shingles that aren't frequent, dealt by shingle."""
-        width, num, den, hot, buckets = self.width, self.num, self.den, self.hot, 4 * self.parts
+    def pairs(self, rows: DataFrame, prefix_only: bool, known=None) -> DataFrame:
+        """``(bucket, pairs)``: (shingle, fingerprint) pairs of the texts' shingles that aren't frequent, dealt by shingle.
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held, size = [], 0
-
-            def flush() -> pa.RecordBatch:
-                both = np.concatenate(held)
-                return packed(both[:, 0] % U64(buckets), both, "pairs")
+        With ``known``, an id filter, ``rows`` have its places, and only rows that it knows count.
+        """
+        width, num, den, hot, buckets = self.width, self.num, self.den, self.hot, self.buckets
 
+        def made(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
             for batch in batches:
-                for piece in text_slices(batch, "text"):
+                for piece in text_slices(screened(batch, known) if known else batch, "text", SLICE):
                     code, offsets = shingle_sets(piece.column(1).to_pylist(), width)
                     n, fp = np.diff(offsets), fingerprints(code, offsets)
                     first = np.zeros(len(n), bool)
@@ -298,40 +301,40 @@ class Join:
                     keep = np.repeat(first, n) & ~member(code, hot.value)
                     if prefix_only:
                         keep &= rank < np.repeat(prefix_lengths(n, num, den)[0], n)
-                    if keep.any():
-                        held.append(np.stack([code[keep], np.repeat(fp, n)[keep]], 1))
-                        size += held[-1].nbytes
-                    if size >= FLUSH_BYTES:
-                        yield flush()
-                        held, size = [], 0
-            if held:
-                yield flush()
+                    yield np.stack([code[keep], np.repeat(fp, n)[keep]], 1)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return packed(made(batches), buckets, "pairs")
+
+        return self.dealt(map_in_arrow(rows, run, "bucket int, pairs binary"))
 
-        return rows.mapInArrow(run, "bucket int, pairs binary").repartition(self.parts, "bucket")
+    def dealt(self, packs: DataFrame) -> DataFrame:
+        """Packed rows, those of a bucket together: a worker holds one bucket at a time."""
+        return packs.repartition(self.parts, "bucket").sortWithinPartitions("bucket")
 
     def survivors(self, vertices: DataFrame) -> DataFrame:
         """The vertices whose prefixes have enough repeated shingles."""
 
-        parts = self.parts
+        buckets = self.buckets
 
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            raw = [x for b in batches for x in b.column(1).to_pylist()]
-            if raw:
+        def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+            for raw in buckets_of(batches):
                 _, fp, df = counted(raw)
                 fp, n = np.unique(fp[df > 1], return_counts=True)
-                if len(fp):
-                    yield packed(fp % U64(4 * parts), np.stack([fp, n.astype(np.uint64)], 1), "items")
+                yield np.stack([fp, n.astype(np.uint64)], 1)
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return packed(repeats(batches), buckets, "items")
 
         def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            raw = [x for b in batches for x in b.column(1).to_pylist()]
-            if raw:
+            for raw in buckets_of(batches):
                 items = np.frombuffer(b"".join(raw), np.uint64).reshape(-1, 2)
                 fp, where = np.unique(items[:, 0], return_inverse=True)
                 n = np.bincount(where, items[:, 1].astype(np.float64)).astype(np.int64)
                 yield pa.record_batch([as_long(fp), pa.array(n, pa.int64())], ["fp", "repeated"])
 
-        partial = self.pairs(self.rows, True).mapInArrow(count, "bucket int, items binary")
-        repeated = partial.repartition(parts, "bucket").mapInArrow(total, "fp long, repeated long")
+        partial = map_in_arrow(self.pairs(self.rows, True), count, "bucket int, items binary")
+        repeated = map_in_arrow(self.dealt(partial), total, "fp long, repeated long")
         return vertices.join(repeated, "fp", "left").where(F.coalesce("repeated", F.lit(0)) >= F.col("need")).select("fp", "rep", "n")
 
     def texts_of(self, chosen: DataFrame) -> DataFrame:
@@ -340,37 +343,42 @@ class Join:
 
     def keys(self, chosen: DataFrame) -> DataFrame:
         """``(token, fp)``: the rarest shingles of the vertices that can have a partner among the chosen ones."""
-        rows, parts, width, num, den, hot = self.texts_of(chosen), self.parts, self.width, self.num, self.den, self.hot
+        rows, known = spotted(self.rows.select("id", "text"), "id"), id_filter(chosen, "rep")
+        buckets, width, num, den, hot = self.buckets, self.width, self.num, self.den, self.hot
         frequent = np.iinfo(np.int64).max
 
-        def send(fp: np.ndarray, token: np.ndarray, df: np.ndarray) -> pa.RecordBatch:
-            return packed(fp % U64(4 * parts), np.stack([fp, token, df.astype(np.uint64)], 1), "items")
+        def rows_of(fp: np.ndarray, token: np.ndarray, df: np.ndarray) -> np.ndarray:
+            return np.stack([fp, token, df.astype(np.uint64)], 1)
 
-        def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            raw = [x for b in batches for x in b.column(1).to_pylist()]
-            if raw:
+        def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+            for raw in buckets_of(batches):
                 token, fp, df = counted(raw)
-                if (df > 1).any():
-                    yield send(fp[df > 1], token[df > 1], df[df > 1])
+                yield rows_of(fp[df > 1], token[df > 1], df[df > 1])
 
-        def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def described(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
             """Sizes (with df 0) and frequent shingles, which the counts leave out."""
             for batch in batches:
-                for piece in text_slices(batch, "text"):
+                for piece in text_slices(screened(batch, known), "text", SLICE):
                     code, offsets = shingle_sets(piece.column(1).to_pylist(), width)
                     n, fp = np.diff(offsets), fingerprints(code, offsets)
                     here, sized = member(code, hot.value), n > 0
-                    if sized.any():
-                        yield send(
-                            np.concatenate([fp[sized], np.repeat(fp, n)[here]]),
-                            np.concatenate([n[sized].astype(np.uint64), code[here]]),
-                            np.concatenate([np.zeros(sized.sum(), np.int64), np.full(here.sum(), frequent)]),
-                        )
+                    yield rows_of(
+                        np.concatenate([fp[sized], np.repeat(fp, n)[here]]),
+                        np.concatenate([n[sized].astype(np.uint64), code[here]]),
+                        np.concatenate([np.zeros(sized.sum(), np.int64), np.full(here.sum(), frequent)]),
+                    )
+
+        def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return packed(repeats(batches), buckets, "items")
+
+        def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return packed(described(batches), buckets, "items")
 
         def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            raw = [x for b in batches for x in b.column(1).to_pylist()]
-            if not raw:
-                return
+            for raw in buckets_of(batches):
+                yield chosen_of(raw)
+
+        def chosen_of(raw: list[bytes]) -> pa.RecordBatch:
             items = np.unique(np.frombuffer(b"".join(raw), np.uint64).reshape(-1, 3), axis=0)
             fp, token, df = items[:, 0], items[:, 1], items[:, 2]
             order = np.lexsort((token, df, fp))
@@ -382,11 +390,11 @@ class Join:
             left = may_lack(n, num, den) + 1 - (n - (count - 1))
             rank = np.arange(len(fp)) - np.repeat(heads, count)
             chosen_here = (rank > 0) & (rank <= np.repeat(np.where(real, left, 0), count))
-            yield pa.record_batch([as_long(token[chosen_here]), as_long(fp[chosen_here])], ["token", "fp"])
+            return pa.record_batch([as_long(token[chosen_here]), as_long(fp[chosen_here])], ["token", "fp"])
 
-        counts = self.pairs(rows, False).mapInArrow(back, "bucket int, items binary")
-        sizes = rows.mapInArrow(own, "bucket int, items binary")
-        return counts.union(sizes).repartition(parts, "bucket").mapInArrow(choose, "token long, fp long")
+        counts = map_in_arrow(self.pairs(rows, False, known), back, "bucket int, items binary")
+        sizes = map_in_arrow(rows, own, "bucket int, items binary")
+        return map_in_arrow(self.dealt(counts.union(sizes)), choose, "token long, fp long")
 
     def links(self, rows: DataFrame, keys: list[str], cross: bool) -> DataFrame:
         """``(u, v)`` over groups of rows ``(*keys, fp, label, side, text)``: each member and the first of its component.
@@ -420,11 +428,12 @@ class Join:
                 yield pa.record_batch([pa.array(fp[good], pa.int64()), pa.array(fp[good][root], pa.int64())], ["u", "v"])
 
         placed = rows.select(*keys, "fp", "label", "side", "text").repartition(self.parts, *keys).sortWithinPartitions(*keys)
-        return placed.mapInArrow(run, "u long, v long")
+        return map_in_arrow(placed, run, "u long, v long")
 
     def components(self) -> DataFrame:
         """``(id, n_shingles, component_id)``."""
         described = materialise(self.sets(), "join-sets")
+        self.buckets = max(self.parts, -(-16 * (described.agg(F.sum("n")).first()[0] or 0) // BUCKET_BYTES))
         vertices = materialise(described.where("n > 0").groupBy("fp").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.min("need").alias("need"), F.count("*").alias("copies")), "join-vertices")
         alive = materialise(self.survivors(vertices), "join-survivors")
         keys = materialise(self.keys(alive), "join-keys")
@@ -501,7 +510,10 @@ def one_of_each(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, id_
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
     twice = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__gone"))
     known = id_filter(gone.union(twice), "__gone")
-    keyed = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(0)))
-    doubtful = filtered(keyed, "__id", known, True)
-    named = doubtful.where(F.col(id_col).isNotNull()).join(gone, F.col("__id") == F.col("__gone"), "left_anti").dropDuplicates([id_col, text_col])
-    return filtered(keyed, "__id", known, False).union(named).union(doubtful.where(F.col(id_col).isNull())).drop("__id")
+    own = "__id"
+    while own in docs.columns:
+        own += "_"
+    keyed = docs.withColumn(own, F.coalesce(F.col(id_col).cast("long"), F.lit(0)))
+    doubtful = filtered(keyed, own, known, True)
+    named = doubtful.where(F.col(id_col).isNotNull()).join(gone.withColumnRenamed("__gone", f"{own}_"), F.col(own) == F.col(f"{own}_"), "left_anti").dropDuplicates([id_col, text_col])
+    return filtered(keyed, own, known, False).union(named).union(doubtful.where(F.col(id_col).isNull())).drop(own)

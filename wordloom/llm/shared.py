@@ -2,37 +2,23 @@
 
 from __future__ import annotations
 
-import uuid
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Folder used only where the session names none (tests on one machine).
-FALLBACK_DIR = "file:///tmp/checkpoints"
+from wordloom.scratch import fresh_path, materialise, shared_dir  # noqa: F401
+
 #: Most bytes of text that a Python worker takes up at once.
 SLICE_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``."""
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or FALLBACK_DIR).rstrip("/")
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/wordloom-{tag}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fold_of(doc_id: Column) -> Column:
     """Held-out fold: crc32 of the id written as text, modulo 5 (0 is held out; a null id is not)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5, F.lit(1))
@@ -59,21 +45,64 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) ->
         yield batch.slice(start)
 
 
-def map_batches(df: DataFrame, column: str, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> DataFrame:
+def release() -> None:
+    """Give freed memory back to the system: a Python worker is kept for tasks of later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` whose worker gives memory back before and after a task."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()  # what tasks of an earlier stage held
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def map_batches(df: DataFrame, column: str, schema, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], limit: int = SLICE_BYTES) -> DataFrame:
     """``mapInArrow`` over slices bounded in bytes; ``make`` runs once per task and returns the function of a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = None
         for batch in batches:
             fn = fn or make()
-            for piece in text_slices(batch, column):
+            for piece in text_slices(batch, column, limit):
                 yield fn(piece)
-        pa.default_memory_pool().release_unused()  # the worker is kept for other tasks
-
-    return df.mapInArrow(run, schema)
-
 
-#: Bits of an id filter; its size is fixed, whatever the input.
+    return map_in_arrow(df, run, schema)
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
+    """Runs of rows with equal values in the first ``keys`` columns, across batches; the values and the rows."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        changed = np.zeros(batch.num_rows - 1, bool)
+        for c in batch.columns[:keys]:
+            values = c.to_numpy(zero_copy_only=False)
+            # an absent value differs from itself in floats: nulls are compared apart
+            changed |= (values[1:] != values[:-1]) if not c.null_count else np.array([a != b for a, b in zip(c[1:].to_pylist(), c[:-1].to_pylist(), strict=True)], bool)
+        cuts = np.flatnonzero(changed) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+            key = tuple(c[a].as_py() for c in batch.columns[:keys])
+            if held and key != last:
+                yield last, held
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield last, held
+
+
+#: Bits of an id filter (1 MB): it takes 5 % of other ids for known at a million, and more beyond, which costs work only.
 FILTER_BITS = 1 << 23
 
 
@@ -90,17 +119,27 @@ def id_filter(ids: DataFrame, column: str):
     return ids.sparkSession.sparkContext.broadcast(table)
 
 
+def spotted(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with the filter's places of an id behind its columns."""
+    return df.select("*", *(x.alias(f"__spot{i}") for i, x in enumerate(_spots(column))))
+
+
+def screened(batch: pa.RecordBatch, known, inside: bool = True) -> pa.RecordBatch:
+    """Of a batch with places, the rows whose id the filter takes for known, or those that it doesn't, without the places."""
+    width = batch.num_columns - 2
+    here = np.ones(batch.num_rows, bool)
+    for k in (width, width + 1):
+        bit = batch.column(k).to_numpy()
+        here &= (known.value[bit >> 5] >> (bit & 31)) & 1 == 1
+    return batch.select(range(width)).filter(pa.array(here == inside))
+
+
 def filtered(df: DataFrame, column: str, known, inside: bool) -> DataFrame:
     """Rows whose id the filter takes for known, or those that it doesn't; no shuffle."""
-    width = len(df.columns)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            here = np.ones(batch.num_rows, bool)
-            for k in (width, width + 1):
-                bit = batch.column(k).to_numpy()
-                here &= (known.value[bit >> 5] >> (bit & 31)) & 1 == 1
-            if (here == inside).any():
-                yield batch.select(range(width)).filter(pa.array(here == inside))
-
-    return df.select("*", *(x.alias(f"__spot{i}") for i, x in enumerate(_spots(column)))).mapInArrow(keep, df.schema)
+            if (some := screened(batch, known, inside)).num_rows:
+                yield some
+
+    return map_in_arrow(spotted(df, column), keep, df.schema)
