@@ -7,8 +7,11 @@ lie on diagonals no more than ``k`` apart.  So shared q-grams are counted in dia
 counts as a whole.
 
 Defined results: null and empty texts leak nothing; items that are null or have no letter or digit match nothing; items
-under ``q`` bytes match where they stand as whole words; a document is reported once per item with its best region;
-repeated rows are reported each; an empty benchmark finds nothing; extra columns are ignored.
+under ``q`` bytes match where they stand as whole words; texts of any length, and with q-grams that repeat without end,
+are gone through in blocks of bounded numbers of shared q-grams; a document is reported once per item with its best
+region (the fewest edits, then the first place); repeated rows are reported each, and items of one id by the better one;
+a null document id is reported as null; an empty benchmark or table finds nothing; extra columns, whatever their names,
+are ignored by ``find_leaks`` and kept by ``without_leaks``.
 """
 
 from __future__ import annotations
@@ -27,7 +30,10 @@ ERROR = 0.075
 #: Bytes of benchmark text that are indexed, and broadcast, at once; a larger benchmark takes several passes.
 BLOCK_BYTES = 16 << 20
 CACHE_REGIONS = 50_000
-POSITIONS = 1 << 20
+#: Positions of texts that are looked up at once, shared q-grams that are laid out at once, windows that are aligned at once.
+POSITIONS, SHARED, WINDOWS = 1 << 20, 1 << 20, 4096
+#: A cell of an alignment holds its edits times this, plus the place where it began.
+UNIT = 1 << 32
 #: ASCII bytes that are neither letters nor digits become spaces.
 TO_SPACE = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256))
 MIX, BITS = np.uint64(0x9E3779B97F4A7C15), 22
@@ -37,39 +43,28 @@ def normalise(text: str | None) -> bytes:
     return b" ".join(text.lower().encode("utf-8", "surrogatepass").translate(TO_SPACE).split()) if text else b""
 
 
-def align(item: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edits charged to each byte of the item, and where it lies in the text, for the best path on diagonals low..high.
+def best_window(item: np.ndarray, text: np.ndarray, low: int, high: int, m: int) -> tuple[int, int, int]:
+    """(edits, start, end) in the text of the window of ``m`` item bytes that takes the fewest edits on diagonals low..high.
 
-    The text may be entered and left anywhere within the band.
+    Every window of the item is aligned on its own, several at once; it may begin and end anywhere within the band.  Of
+    windows with equally few edits the one that begins first in the text counts.
     """
-    width, n = high - low + 1, len(item)
-    at = np.arange(width)
-    rows = np.empty((n + 1, width), np.int32)
-    rows[0] = 0
-    padded = np.concatenate([np.zeros(max(0, -low), np.uint8), text, np.zeros(max(0, n + high + 1 - len(text)), np.uint8)])
-    base = low + max(0, -low)
-    for i in range(n):
-        prev = rows[i]
-        best = prev + (padded[base + i : base + i + width] != item[i])
-        best[:-1] = np.minimum(best[:-1], prev[1:] + 1)
-        rows[i + 1] = np.minimum.accumulate(best - at) + at
-    charged, place = np.zeros(n, np.int32), np.zeros(n, np.int64)
-    i, d = n, int(rows[n].argmin())
-    while i:
-        here = rows[i, d]
-        miss = int(padded[base + i - 1 + d] != item[i - 1])
-        if here == rows[i - 1, d] + miss:
-            charged[i - 1] += miss
-            place[i - 1] = low + i - 1 + d
-            i -= 1
-        elif d + 1 < width and here == rows[i - 1, d + 1] + 1:
-            charged[i - 1] += 1
-            place[i - 1] = low + i - 1 + d
-            i, d = i - 1, d + 1
-        else:
-            charged[i - 1] += 1
-            d -= 1
-    return charged, place
+    width = high - low + 1
+    at = np.arange(width, dtype=np.int64)
+    before, after = max(0, -low), max(0, len(item) + high + 1 - len(text))
+    padded = np.concatenate([np.zeros(before, np.uint8), text, np.zeros(after, np.uint8)])  # no normalised byte is 0
+    best = (m + 1, 0, 0)
+    for first in range(0, len(item) - m + 1, WINDOWS):
+        starts = np.arange(first, min(first + WINDOWS, len(item) - m + 1))[:, None]
+        cells = np.broadcast_to(starts + low + at, (len(starts), width)).copy()
+        for i in range(m):
+            step = cells + UNIT * (padded[starts + i + low + before + at] != item[starts + i])
+            step[:, :-1] = np.minimum(step[:, :-1], cells[:, 1:] + UNIT)
+            cells = np.minimum.accumulate(step - at * UNIT, axis=1) + at * UNIT
+        k, d = np.unravel_index(int(cells.argmin()), cells.shape)
+        edits, start = divmod(int(cells[k, d]) - low, UNIT)
+        best = min(best, (edits, start + low, int(starts[k, 0]) + m + low + int(d)))
+    return best
 
 
 class BenchmarkIndex:
@@ -77,13 +72,18 @@ class BenchmarkIndex:
 
     def __init__(self, items: list[tuple[int, bytes]], q: int = Q, window: int = WINDOW, error: float = ERROR):
         self.q, self.window = q, window
-        self.short = [(i, b" " + t + b" ") for i, t in items if 0 < len(t) < q]
+        self.short: dict[bytes, list[int]] = {}
+        for i, t in items:
+            if 0 < len(t) < q:
+                self.short.setdefault(t, []).append(i)
+        self.short_words = sorted({t.count(b" ") + 1 for t in self.short})
         self.items = [(i, t) for i, t in items if len(t) >= q]
         self.spans = [min(window, len(t)) for _, t in self.items]
         # the budget of a short window is lowered until the bound asks for a shared q-gram
         self.edits = [min(int(m * error), max(0, (m - q) // q)) for m in self.spans]
         self.bound = np.array([m + 1 - q - k * q for m, k in zip(self.spans, self.edits, strict=True)], np.int64)
         self.most_edits = max(self.edits, default=0)
+        self.longest = max((len(t) for _, t in self.items), default=0)
         grams = [self.grams(np.frombuffer(t, np.uint8)) for _, t in self.items]
         code = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
@@ -110,10 +110,13 @@ class BenchmarkIndex:
     def slot(codes: np.ndarray) -> np.ndarray:
         return ((codes * MIX) >> np.uint64(64 - BITS)).astype(np.int64)
 
-    def hits(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(position, item, place in the item) of the q-grams that the text shares with an item."""
-        out = []
-        apron = 2 * (self.window + self.most_edits)
+    def hits(self, raw: np.ndarray):
+        """(position, item, place in the item) of the q-grams that the text shares with an item, in blocks.
+
+        Blocks overlap by as much as a window may cover, so the q-grams of every occurrence are together in one.
+        """
+        reach = self.window + self.most_edits
+        apron = 2 * reach
         for start in range(0, max(0, len(raw) - self.q + 1), POSITIONS):
             first = max(0, start - apron)
             codes = self.grams(raw[first : start + POSITIONS + apron + self.q - 1])
@@ -124,12 +127,16 @@ class BenchmarkIndex:
             real = self.codes[k] == codes[at]
             at, k = at[real], k[real]
             dense = self.dense(at)
-            dense &= (at >= start - first) & (at < start - first + POSITIONS)
             at, k = at[dense], k[dense]
             n = self.count[k]
-            post = np.repeat(self.first[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            out.append((np.repeat(at, n) + first, self.owner[post], self.place[post]))
-        return tuple(map(np.concatenate, zip(*out, strict=True))) if out else (np.zeros(0, np.int64),) * 3
+            total = np.cumsum(n)
+            a = 0
+            while a < len(at):
+                b = max(int(np.searchsorted(total, total[a] - n[a] + SHARED, side="right")), int(np.searchsorted(at, at[a] + 2 * reach)), a + 1)
+                some, of = n[a:b], k[a:b]
+                post = np.repeat(self.first[of] - np.cumsum(some) + some, some) + np.arange(some.sum())
+                yield np.repeat(at[a:b], some) + first, self.owner[post], self.place[post]
+                a = int(np.searchsorted(at, at[b - 1] - reach)) if b < len(at) else b
 
     def dense(self, at: np.ndarray) -> np.ndarray:
         """Which of the sorted positions lie in a stretch, as long as a window may get, with as many of them as any bound asks for."""
@@ -143,29 +150,28 @@ class BenchmarkIndex:
 
     def regions(self, raw: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(text, item, lowest and highest diagonal) of the bands that meet the bound, over texts laid end to end."""
-        pos, item, place = self.hits(raw)
-        if not len(pos):
-            return []
+        found: set[tuple[int, int, int, int]] = set()
         k = max(1, self.most_edits)
-        diagonal = pos - place + self.window + max((len(t) for _, t in self.items), default=0)
-        found = set()
-        for shift in (0, k):
-            band = (diagonal + shift) // (2 * k)
-            key = item * (int(band.max()) + 1) + band
-            order = np.argsort(key, kind="stable")
-            ordered = key[order]
-            heads = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-            sizes = np.diff(np.append(heads, len(ordered)))
-            enough = sizes >= self.bound[item[order[heads]]]
-            for head, size in zip(heads[enough].tolist(), sizes[enough].tolist(), strict=True):
-                some = order[head : head + size]
-                own = np.searchsorted(starts, pos[some], side="right") - 1
-                i = int(item[some[0]])
-                for text in np.unique(own).tolist():
-                    mine = some[own == text]
-                    if len(np.unique(place[mine])) >= self.bound[i]:
-                        low = pos[mine] - place[mine] - starts[text]
-                        found.add((text, i, int(low.min()), int(low.max())))
+        for pos, item, place in self.hits(raw):
+            diagonal = pos - place + self.longest
+            for shift in (0, k):
+                band = (diagonal + shift) // (2 * k)
+                low = int(band.min())
+                key = item * (int(band.max()) - low + 1) + band - low
+                order = np.argsort(key, kind="stable")
+                ordered = key[order]
+                heads = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+                sizes = np.diff(np.append(heads, len(ordered)))
+                enough = sizes >= self.bound[item[order[heads]]]
+                for head, size in zip(heads[enough].tolist(), sizes[enough].tolist(), strict=True):
+                    some = order[head : head + size]
+                    own = np.searchsorted(starts, pos[some], side="right") - 1
+                    i = int(item[some[0]])
+                    for text in np.unique(own).tolist():
+                        mine = some[own == text]
+                        if len(np.unique(place[mine])) >= self.bound[i]:
+                            near = pos[mine] - place[mine] - starts[text]
+                            found.add((text, i, int(near.min()), int(near.max())))
         return sorted(found)
 
     def verify(self, i: int, text: bytes, low: int, high: int) -> tuple[int, int, int] | None:
@@ -182,10 +188,8 @@ class BenchmarkIndex:
             if at >= 0:
                 self.cache[key] = (at, at + len(item), 0)
             else:
-                charged, place = align(np.frombuffer(item, np.uint8), np.frombuffer(part, np.uint8), low - begin - pad, high - begin + pad)
-                sums = np.convolve(charged, np.ones(m, np.int64), "valid")
-                s = int(sums.argmin())
-                self.cache[key] = (max(0, int(place[s])), min(len(part), int(place[s + m - 1]) + 1), int(sums[s])) if sums[s] <= k else None
+                edits, first, last = best_window(np.frombuffer(item, np.uint8), np.frombuffer(part, np.uint8), low - begin - pad, high - begin + pad, m)
+                self.cache[key] = (max(0, first), min(len(part), last), edits) if edits <= k else None
         found = self.cache[key]
         return found and (found[0] + begin, found[1] + begin, found[2])
 
@@ -194,14 +198,19 @@ class BenchmarkIndex:
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         starts = np.cumsum([0] + [len(t) + 1 for t in texts])[:-1]
         for text, i, low, high in self.regions(np.frombuffer(b"\0".join(texts), np.uint8), starts) if texts else []:
+            key = (text, self.items[i][0])
+            if best.get(key, (1,))[0] == 0 and best[key][1] <= low:
+                continue  # nothing better follows: regions come in the order of their diagonals
             if found := self.verify(i, texts[text], low, high):
-                key = (text, self.items[i][0])
                 best[key] = min(best.get(key, (found[2], found[0], found[1])), (found[2], found[0], found[1]))
-        for item_id, word in self.short:
-            for n, t in enumerate(texts):
-                at = (b" " + t + b" ").find(word)
-                if at >= 0:
-                    best[n, item_id] = (0, at, at + len(word) - 2)
+        for n, text in enumerate(texts if self.short else ()):
+            words = text.split()
+            begins = np.cumsum([0] + [len(w) + 1 for w in words]).tolist()
+            for width in self.short_words:
+                for a in range(len(words) - width + 1):
+                    phrase = b" ".join(words[a : a + width])
+                    for item_id in self.short.get(phrase, ()):
+                        best[n, item_id] = min(best.get((n, item_id), (1, 0, 0)), (0, begins[a], begins[a] + len(phrase)))
         return [(n, i, s, e, d) for (n, i), (d, s, e) in sorted(best.items())]
 
 
