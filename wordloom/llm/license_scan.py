@@ -1,14 +1,17 @@
 """License scan by template markup.
 
 A template is plain words with two kinds of markup: ``<opt> ... </opt>`` may be left out, ``<any:N>`` stands for up to N
-words of any kind.  It is compiled into a token automaton; a text holds the license if, from some word on, the mandatory
-words follow one another exactly, with nothing between them but what the markup allows.  Beside the templates, base
-phrases are counted wherever their words stand consecutively.
+words of any kind, such as a holder's name.  It is compiled into a token automaton; a text holds the license if, from
+some word on, the mandatory words follow one another exactly, with nothing between them but what the markup allows.
+Templates are whole license texts (score 1), notices that files carry (0.9), openings of license texts, whose changed terms
+may follow (label ``...-opening``, 0.7), and mentions by name and version (0.6).  Beside the templates, base phrases are
+counted wherever their words stand consecutively (0.5).
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z are lower-cased.
 
 Defined results: a null or empty text has 0 words, no places (first and last null), empty labels and score 0;
-overlapping places all count; rows are independent, so repeated rows repeat; extra columns are ignored.
+overlapping places all count; texts of any length are scanned whole; the score is that of the best label; rows are independent, so repeated rows
+repeat, and a null id stays null; an empty table gives no rows; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -24,31 +27,84 @@ from wordloom.llm.shared import map_batches
 # Base phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-# Templates of well-known license notices, with labels.
-TEMPLATES = {
-    "apache-2.0": [
-        "licensed under the apache license <opt>version</opt> 2 0",
-        "licensed under the apache license version 2 0 the license <opt>you may not use this file except in compliance with the license</opt>",
-    ],
-    "bsd": [
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-        "<opt>released</opt> under the <opt>new</opt> <opt>2 clause</opt> <opt>3 clause</opt> <opt>simplified</opt> <opt>modified</opt> bsd license",
-    ],
+# Wordings of well-known licenses, in words, with what may be left out or replaced.
+AS_IS = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"
+MIT_OPENING = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"
+MIT = (
+    f"{MIT_OPENING} the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"
+    " and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <opt>including the next paragraph</opt>"
+    f" shall be included in all copies or substantial portions of the software {AS_IS} in no event shall <any:8> be liable for any claim damages or other liability whether in an action of contract tort or otherwise"
+    " arising from out of or in connection with the software or the use or other dealings in the software"
+)
+ISC_OPENING = "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"
+ISC_KEEP = "provided that the above copyright notice and this permission notice appear in all copies"
+ISC_END = (
+    "the software is provided as is and <any:6> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall <any:6> be liable for any special direct"
+    " indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or"
+    " performance of this software"
+)
+BSD_OPENING = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+BSD_TWO = (
+    f"{BSD_OPENING} <opt>1</opt> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <opt>2</opt> redistributions in binary form must reproduce the above"
+    " copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+)
+BSD_NAMES = "<opt>3</opt> neither the name of <any:12> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+BSD_END = (
+    "this software is provided by <any:8> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall"
+    " <any:8> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption"
+    " however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+)
+ZLIB = (
+    "this software is provided as is without any express or implied warranty in no event will <any:4> be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any"
+    " purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions <opt>1</opt> the origin of this software must not be misrepresented you must not claim that you wrote the"
+    " original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required <opt>2</opt> altered source versions must be plainly marked as such and must not be"
+    " misrepresented as being the original software <opt>3</opt> this notice may not be removed or altered from any source distribution"
+)
+UNLICENSE = (
+    "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose"
+    " commercial or non commercial and by any means"
+)
+APACHE_NOTICE = (
+    "licensed under the apache license version 2 0 the license you may not use this <any:3> except in compliance with the license you may obtain a copy of the license at <opt>http</opt> <opt>https</opt> www apache org licenses license 2 0"
+    " unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the"
+    " specific language governing permissions and limitations under the license"
+)
+GPL_NOTICE = (
+    "free software you can redistribute it and or modify it under the terms of the gnu {kind} license as published by the free software foundation either version {version} of the license or at your option any later version"
+    " <any:4> distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu {kind} license for more details"
+)
+MPL_NOTICE = "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at <opt>http</opt> <opt>https</opt> mozilla org mpl 2 0"
+GPL_KINDS = {"gpl": "general public", "lgpl": "lesser general public", "agpl": "affero general public"}
+TEXTS = {
+    "0bsd": [f"{ISC_OPENING} {ISC_END}"],
+    "bsd-2-clause": [f"{BSD_TWO} {BSD_END}"],
+    "bsd-3-clause": [f"{BSD_TWO} {BSD_NAMES} {BSD_END}"],
+    "isc": [f"{ISC_OPENING} {ISC_KEEP} {ISC_END}"],
+    "mit": [MIT],
+    "zlib": [ZLIB],
+}
+NOTICES = {
+    "apache-2.0": [APACHE_NOTICE],
+    "mpl-2.0": [MPL_NOTICE],
+    "unlicense": [UNLICENSE],
+} | {f"{label}-{n}.0": [GPL_NOTICE.format(kind=kind, version=n)] for label, kind in GPL_KINDS.items() for n in ((2, 3) if label == "gpl" else (3,))}
+OPENINGS = {"bsd-opening": [BSD_OPENING], "isc-opening": [f"{ISC_OPENING} {ISC_KEEP}"], "mit-opening": [MIT_OPENING]}
+MENTIONS = {
+    "apache-2.0": ["apache license <opt>version</opt> 2 0", "apache license v2 <opt>0</opt>"],
+    "bsd": ["under the <opt>new</opt> <opt>2 clause</opt> <opt>3 clause</opt> <opt>simplified</opt> <opt>modified</opt> bsd license"],
     "cc-by-4.0": ["licensed under <opt>a creative commons attribution license</opt> cc by 4 0", "licensed under a creative commons attribution 4 0 international license"],
     "cc-by-nc-4.0": ["licensed under cc by nc 4 0", "licensed under a creative commons attribution noncommercial 4 0 international license"],
     "cc-by-nc-nd-4.0": ["licensed under cc by nc nd 4 0"],
     "cc-by-nc-sa-4.0": ["licensed under cc by nc sa 4 0"],
     "cc-by-nd-4.0": ["licensed under cc by nd 4 0"],
     "cc-by-sa-4.0": ["licensed under cc by sa 4 0", "licensed under a creative commons attribution sharealike 4 0 international license"],
-    "gpl-2.0": ["gnu general public license <opt>as published by the free software foundation either</opt> <opt>version</opt> 2"],
-    "gpl-3.0": ["gnu general public license <opt>as published by the free software foundation either</opt> <opt>version</opt> 3"],
-    "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
-    "mit": [
-        "<opt>copyright <opt>c</opt> <any:12></opt> permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
-        "released under the <opt>terms of the</opt> mit license",
-    ],
-    "mpl-2.0": ["subject to the terms of the mozilla public license v 2 0", "mozilla public license <opt>version</opt> 2 0"],
-}
+    "gpl-2.0": ["gnu general public license version 2", "gnu general public license v2", "gnu gpl v2"],
+    "gpl-3.0": ["gnu general public license version 3", "gnu general public license v3", "general public license v3", "gnu gpl v3"],
+    "mit": ["under the <opt>terms of the</opt> mit license"],
+    "mpl-2.0": ["mozilla public license <opt>version</opt> <opt>v</opt> 2 0"],
+}
+#: Scores of the kinds of templates, and of a base phrase alone.
+GRADES, BASE_GRADE = ((1.0, TEXTS), (0.9, NOTICES), (0.7, OPENINGS), (0.6, MENTIONS)), 0.5
 
 #: Bytes to words: A-Z become a-z, separators become spaces.
 TO_WORDS = bytes(
@@ -127,9 +183,9 @@ def longest_run(template: str) -> str:
 
 
 class Scanner:
-    def __init__(self, base: dict[str, str] = BASE, templates: dict[str, list[str]] = TEMPLATES):
+    def __init__(self, base: dict[str, str] = BASE, grades: tuple[tuple[float, dict[str, list[str]]], ...] = GRADES):
         self.base = [(f" {p} ".encode(), label) for p, label in base.items()]
-        self.templates = [(label, f" {longest_run(t)} ".encode(), TokenAutomaton(t)) for label, ts in templates.items() for t in ts]
+        self.templates = [(grade, label, f" {longest_run(t)} ".encode(), TokenAutomaton(t)) for grade, held in grades for label, ts in held.items() for t in ts]
 
     @staticmethod
     def places(line: bytes, phrase: bytes) -> list[int]:
@@ -147,16 +203,16 @@ class Scanner:
         words = (text or "").encode("utf-8", "surrogatepass").translate(TO_WORDS).split(b" ")
         words = [w for w in words if w]
         line = b" " + b" ".join(words) + b" "
-        hits, base, full = [], set(), set()
+        hits, base, full = [], set(), {}
         for phrase, label in self.base:
             if found := self.places(line, phrase):
                 hits += found
                 base.add(label)
-        for label, run, automaton in self.templates:
-            if label not in full and run in line and any(automaton.accepts_at(words, i) is not None for i in self.starts(automaton, words)):
-                full.add(label)
-        score = 1.0 if full else 0.5 if base else 0.0
-        return len(words), sorted(hits), sorted(base), sorted(base | full), score
+        for grade, label, run, automaton in self.templates:
+            if full.get(label, 0) < grade and run in line and any(automaton.accepts_at(words, i) is not None for i in self.starts(automaton, words)):
+                full[label] = grade
+        score = max([*full.values(), BASE_GRADE if base else 0.0])
+        return len(words), sorted(hits), sorted(base), sorted(base | full.keys()), score
 
     @staticmethod
     def starts(automaton: TokenAutomaton, words: list[bytes]) -> list[int]:
