@@ -4,9 +4,11 @@ A word that the model knows is scored by its log frequency in each language.  A
 its character n-grams, the longest length of which any is known; shorter lengths are tried in turn.  Scores add up over
 the whole text, and the winner's share of the probability is the score.
 
-Defined results: a null text or one without a letter is ``und`` with score 0; rows with a null language or text are not
-learned from; ties go to the language that sorts first; an empty training set gives ``und`` throughout; repeated rows
-count as often as they occur; extra columns are ignored.
+Defined results: a null text or one without a letter is ``und`` with score 0; texts of any length are scored whole; rows
+with a null language or text are not learned from; ties go to the language that sorts first; an empty training set
+gives ``und`` throughout; repeated rows count as often as they occur; an empty table gives no rows; kept columns may not
+be called ``lang_pred`` or ``score``; other columns, whatever their names, are ignored by ``predict`` and kept by
+``with_language``.
 """
 
 from __future__ import annotations
@@ -24,12 +26,12 @@ from wordloom.llm.shared import bounded_sample, map_batches, materialise
 
 #: Documents that the model is fitted on, about, at most.
 TRAIN_DOCS = 10_000
-#: Words and n-grams that the model holds at most, most frequent first.
-MAX_WORDS, MAX_GRAMS = 60_000, 60_000
+#: Times that a word or n-gram occurs in the sample before the model knows it: one that occurs once says little, and most do.
+KNOWN_FROM = 2
 LONGEST_GRAM = 5
 UNDETERMINED = "und"
 WORD = re.compile(r"[^\W\d_]+")
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 
 
 def words_of(text: str) -> list[str]:
@@ -152,20 +154,22 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", key: str
     size = [sum(d for (k, _), (_, d) in sums.items() if k == kind) or 1 for kind in range(LONGEST_GRAM + 1)]
     base = np.array([[math.log(0.1) - math.log(sums.get((k, lang), (0, 0))[0] + 0.1 * size[k]) for lang in langs] for k in range(LONGEST_GRAM + 1)])
 
-    def table(low: int, high: int, most: int) -> tuple[list[dict[str, int]], np.ndarray]:
+    def table(low: int, high: int) -> tuple[list[dict[str, int]], np.ndarray]:
         kept = counts.where(F.col("kind").between(low, high))
-        top = kept.groupBy("kind", "item").agg(F.sum("n").alias("n")).where("n >= 2").orderBy(F.desc("n"), "kind", "item").limit(most).select("kind", "item")
+        known = kept.groupBy("kind", "item").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"), F.sum("n").alias("n")).where(F.col("n") >= KNOWN_FROM)
         at_row: list[dict[str, int]] = [{} for _ in range(LONGEST_GRAM + 1)]
         rows: list[np.ndarray] = []
-        for r in kept.join(F.broadcast(top), ["kind", "item"], "left_semi").orderBy("kind", "item", "lang").collect():  # at most ``most`` items in each language
-            row = at_row[r.kind].setdefault(r["item"], len(rows))
-            if row == len(rows):
-                rows.append(base[r.kind].copy())
-            rows[row][at[r.lang]] = math.log(r.n + 0.1) - math.log(sums[r.kind, r.lang][0] + 0.1 * size[r.kind])
+        # the sample's words bound what comes: an item has as many languages as times at most
+        for r in known.select("kind", "item", "by").orderBy("kind", "item").toLocalIterator():
+            at_row[r.kind][r["item"]] = len(rows)
+            row = base[r.kind].copy()
+            for lang, n in r.by.items():
+                row[at[lang]] = math.log(n + 0.1) - math.log(sums[r.kind, lang][0] + 0.1 * size[r.kind])
+            rows.append(row.astype(np.float32))
         return at_row, np.array(rows, np.float32).reshape(len(rows), len(langs))
 
-    (words, *_), word_rows = table(0, 0, MAX_WORDS)
-    grams, gram_rows = table(1, LONGEST_GRAM, MAX_GRAMS)
+    (words, *_), word_rows = table(0, 0)
+    grams, gram_rows = table(1, LONGEST_GRAM)
     share = np.array([sums.get((0, lang), (0, 0))[0] for lang in langs], float)
     prior = np.log(share / share.sum()) if len(langs) else np.zeros(0)
     return BackoffModel(langs, words, word_rows, grams, gram_rows, prior)
@@ -174,6 +178,8 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", key: str
 def predict(df: DataFrame, model: BackoffModel, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns with ``lang_pred`` and ``score``."""
     held = df.sparkSession.sparkContext.broadcast(model)
+    if taken := {"lang_pred", "score"}.intersection(keep):
+        raise ValueError(f"kept columns clash with those of the result: {sorted(taken)}")
     rows = df.select(*keep, F.col(text_col).alias("__text"))
     fields = rows.drop("__text").schema
 
