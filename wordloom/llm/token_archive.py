@@ -9,9 +9,9 @@ ids (int64), frame offset (int64) and frame length (int64).  The footer is the i
 (both int64) and the magic again.  A frame holds a width byte (2 or 4) before compression, then the ids as little-endian
 unsigned integers of that width.  A reader takes the footer, the index and then only the frames it wants.
 
-Defined results: a null text counts as empty and holds the end id alone; rows without an id have no place in the order
-and are left out; equal doc_ids stay together, in the order of
-their texts; an empty table gives no rows; extra columns are ignored.  Files are written under a temporary name
+Defined results: a null text counts as empty and holds the end id alone; a text of any length is one frame; rows without
+an id have no place in the order and are left out; equal doc_ids stay together, in the order of their texts; an empty
+table gives no rows; extra columns, whatever their names, are ignored.  Files are written under a temporary name
 and renamed, and hold the same bytes whenever a task is run again.
 """
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import posixpath
 import re
 import zlib
@@ -35,84 +36,117 @@ from pyspark.sql import functions as F
 from wordloom.llm.shared import bounded_sample, fresh_path, map_batches, materialise, text_slices
 
 MAGIC = b"WLTOKEN1"
-#: Documents that the dictionary is trained on, about, at most, and its size in bytes.
-DICT_DOCS, DICT_BYTES = 2_000, 64 << 10
-#: Longer id arrays are not trained on (they are archived like the others): the samples meet on the driver.
-SAMPLE_BYTES = 128 << 10
-CACHE_WORDS = 600_000
+#: Documents that the dictionary is trained on, about, at most; text of theirs, about, at most; its size in bytes.
+DICT_DOCS, DICT_TEXT, DICT_BYTES = 2_000, 16 << 20, 64 << 10
+#: Bytes of a training sample: a longer id array is several.
+SAMPLE_BYTES = 16 << 10
+#: Distinct pre-tokens whose ids a worker remembers.
+CACHE_UNITS = 300_000
+
+
+# The pre-token pattern and the normalizers of the tokenizer whose pre-tokens are cut here.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+END_OF_WORD = "</w>"
+# Letters in lower case, and marks, that the pattern sees alike in Python and that no normalizer changes.
+LETTERS = "a-z\u00df-\u00f6\u00f8-\u012f\u0132-\u0148\u014a-\u017e"
+MARKS = "\u2018\u2019\u201c\u201d\u2013\u2014\u2026\u00ab\u00bb\u00bf\u00a1"
+
+#: Anything but plain characters; the library sees runs that hold one whole.
+ODD = re.compile(rf"[^\t-\r -~\u00c0-\u00d6\u00d8-\u00de{LETTERS}{MARKS}]")
+RUN = re.compile(r"[^ \t\n\r\f\v]+")
+#: Pre-tokens of plain characters in lower case.
+UNIT = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{LETTERS}]+|[0-9]|[^\s0-9{LETTERS}]+")
 
 
-class WordCache:
-    """The ids of a text, one run of non-space characters at a time.
+class PretokenCache:
+    """The ids of a text, one pre-token at a time; a distinct one is encoded once by the library and remembered.
 
-    White space always ends a pre-token of this tokenizer and leaves no id, so the runs can be encoded apart; each
-    distinct run is encoded once by the library and remembered.  With ``added``, added tokens such as <|endoftext|> in a
-    text get their own ids, as by default in the library: it cuts a text there before anything else, so a text is cut
-    there first, and such a piece is encoded as it is.  Without, they are text like any other.
+    Added tokens such as <|endoftext|> are cut out first, as the library does, and have their own ids.  Plain text is
+    then cut into the tokenizer's own pre-tokens.  Runs with other characters (combining marks, letters that change
+    their length in lower case, white space beyond ASCII) go to the library whole, for white space ends a pre-token and
+    leaves no id.  A tokenizer with another pattern gets whole texts.
     """
 
-    def __init__(self, path: str, most: int = CACHE_WORDS, added: bool = False):
+    def __init__(self, path: str, most: int = CACHE_UNITS):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.held = Tokenizer.from_file(path), most, {}
-        self.tokenizer.encode_special_tokens = not added
-        tokens = list(self.tokenizer.get_added_tokens_decoder().values()) if added else []
-        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in tokens):
-            raise ValueError("added tokens that depend on what is around them")
-        self.added = {t.content for t in tokens}
-        # the longest first, as the library matches them
-        self.cut = re.compile("|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))) if tokens else None
-
-    def runs(self, text: str) -> list[str]:
-        if self.cut is None or not self.cut.search(text):
-            return RUN.findall(text)
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.held, self.old = {}, {}  # what came lately, and before that
+        made = json.loads(self.tokenizer.to_str())
+        first, kinds = made.get("normalizer") or {}, (made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        self.known = [n.get("type") for n in first.get("normalizers", ())] == NORMALIZERS and kinds[0].get("pattern") == {"Regex": PATTERN} and made["model"].get("end_of_word_suffix") == END_OF_WORD
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.known &= not any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added)
+        self.names = sorted((t.content for t in added), key=len, reverse=True)  # the longest first, as the library matches them
+        self.cut = re.compile("|".join(map(re.escape, self.names)))
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(END_OF_WORD)]] = True
+
+    def units(self, text: str, odd: set[str]) -> list[str]:
+        """Pre-tokens of a text in order; ``odd`` takes up those that are no plain ones."""
+        if not self.known:
+            odd.add(text)
+            return [text]
+        if not any(name in text for name in self.names):
+            return self.plain_units(text, odd)
         out, at = [], 0
         for m in self.cut.finditer(text):
-            out += [*RUN.findall(text[at : m.start()]), m[0]]
+            out += [*self.plain_units(text[at : m.start()], odd), m[0]]
+            odd.add(m[0])
             at = m.end()
-        return out + RUN.findall(text[at:])
+        return out + self.plain_units(text[at:], odd)
+
+    @staticmethod
+    def plain_units(text: str, odd: set[str]) -> list[str]:
+        if not ODD.search(text):
+            return UNIT.findall(text.lower())
+        out, at = [], 0
+        for m in RUN.finditer(text):
+            if ODD.search(m[0]):
+                out += [*UNIT.findall(text[at : m.start()].lower()), m[0]]
+                odd.add(m[0])
+                at = m.end()
+        return out + UNIT.findall(text[at:].lower())
+
+    def learn(self, plain: list[str], odd: list[str]) -> None:
+        """Encode units; plain ones many at once, with spaces between: a unit ends where an id ends a word."""
+        for at in range(0, len(plain), 4096):
+            some = plain[at : at + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(some) or int(ends[-1]) != len(ids):
+                odd = odd + some
+                continue
+            raw, start = ids.tobytes(), 0
+            for unit, end in zip(some, (4 * ends).tolist(), strict=True):
+                self.held[unit] = raw[start:end]
+                start = end
+        for unit in odd:
+            self.held[unit] = np.array(self.tokenizer.encode(unit, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        runs = [self.runs(t) if t else [] for t in texts]
-        if len(self.held) > self.most:
-            self.held.clear()
-        held = self.held
-        new = list({w for words in runs for w in words if w not in held})
-        parts = [(w,) if w in self.added else split_tail(w) for w in new]
-        units = list({u for p in parts for u in p} - held.keys())
-        for at in range(0, len(units), 4096):
-            some = units[at : at + 4096]
-            for unit, encoding in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                held[unit] = np.array(encoding.ids, "<u4").tobytes()
-        get = held.__getitem__
-        for word, units_of in zip(new, parts, strict=True):
-            held[word] = b"".join(map(get, units_of))
-        return [b"".join(map(get, words)) for words in runs]
-
-
-# ASCII marks but for the apostrophe, which can open a contraction.
-MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-
-
-def split_tail(run: str) -> tuple[str, ...]:
-    """A run as its body and the marks behind it, where the tokenizer parts them anyway; ASCII bodies in lower case, as it has them."""
-    body = run.rstrip(MARKS)
-    if not body or not body[-1].isalnum() or "'" in run:
-        return (run,)
-    low = body.lower() if body.isascii() else body
-    return (low,) if len(body) == len(run) else (low, run[len(body) :])
-
-
-#: Runs between ASCII white space; other white space stays inside a run, where the library sees it.
-RUN = re.compile(r"[^ \t\n\r\f\v]+")
+        """Little-endian unsigned 32-bit ids of each text."""
+        odd: set[str] = set()
+        units = [self.units(t, odd) if t else [] for t in texts]
+        if len(self.held) > self.most // 2:
+            self.held, self.old = {}, self.held
+        held, old = self.held, self.old
+        new = {u for u in set().union(*units) if u not in held}
+        for u in [u for u in new if u in old]:
+            held[u] = old[u]
+            new.discard(u)
+        self.learn(list(new - odd), list(new & odd))
+        get = self.held.__getitem__
+        return [b"".join(map(get, x)) for x in units]
 
 
 @functools.cache
-def word_cache(path: str, added: bool = False) -> WordCache:
+def pretoken_cache(path: str) -> PretokenCache:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task has one core
-    return WordCache(path, added=added)
+    return PretokenCache(path)
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -184,25 +218,24 @@ class FileReader:
         return self.ids(k) if k < len(self.index) and self.index[k, 0] == doc_id else None
 
 
-def write_archive(df: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, added: bool = False) -> tuple[str, DataFrame, bytes]:
-    """Encode, range-partition by id and write; returns the folder, its manifest and the dictionary.
-
-    ``added``: whether added tokens in a text get their own ids.
-    """
+def write_archive(df: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> tuple[str, DataFrame, bytes]:
+    """Encode, range-partition by id and write; returns the folder, its manifest and the dictionary."""
     spark = df.sparkSession
     path = path or fresh_path(spark, "tokens")
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    asked = bounded_sample(rows, "id", DICT_DOCS)
+    share = DICT_TEXT / max(DICT_TEXT, asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
 
     def sample() -> object:
-        cache = word_cache(tokenizer, added)
+        cache = pretoken_cache(tokenizer)
 
         def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
-            packed = [pack(np.frombuffer(x, "<u4")) for x in cache.encode_all(batch.column(1).to_pylist())]
-            return pa.record_batch([pa.array([x for x in packed if len(x) <= SAMPLE_BYTES], pa.binary())], ["sample"])
+            packed = [pack(np.frombuffer(x[at : at + 2 * SAMPLE_BYTES], "<u4")) for x in cache.encode_all(batch.column(1).to_pylist()) for at in range(0, len(x) or 1, 2 * SAMPLE_BYTES)]
+            return pa.record_batch([pa.array([x for x in packed if zlib.crc32(x) < share * (1 << 32)], pa.binary())], ["sample"])
 
         return encode
 
-    dictionary = train_dictionary(sorted(r.sample for r in map_batches(bounded_sample(rows, "id", DICT_DOCS), "text", "sample binary", sample).collect()))
+    dictionary = train_dictionary(sorted(r.sample for r in map_batches(asked, "text", "sample binary", sample).collect()))  # about DICT_TEXT at most
     held = spark.sparkContext.broadcast(dictionary)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -210,7 +243,7 @@ def write_archive(df: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc
         context = TaskContext.get()
         name = f"part-{context.partitionId():06d}.wltok"
         store, root = pa.fs.FileSystem.from_uri(path)
-        end, cache, writer = np.array([end_id], "<u4").tobytes(), word_cache(tokenizer, added), FileWriter(held.value)
+        end, cache, writer = np.array([end_id], "<u4").tobytes(), pretoken_cache(tokenizer), FileWriter(held.value)
         batch = next(batches, None)
         if batch is None:
             return
