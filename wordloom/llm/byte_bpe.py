@@ -50,7 +50,8 @@ class ChunkedBpe:
         self.engine = tiktoken.Encoding("chunked", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.pattern, self.chunk, self.overlap = regex.compile(pattern), chunk, overlap
         self.rank_of_line_end = ranks.get(b"\n")
-        self.ids_of: dict[str, bytes] = {}
+        self.ids_of: dict[str, bytes] = {}  # what came lately
+        self.old: dict[str, bytes] = {}  # and before that
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
@@ -96,10 +97,12 @@ class ChunkedBpe:
 
     def encode_pieces(self, pieces: list[list[str]]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each list of pre-tokens."""
-        if len(self.ids_of) > CACHE_PRETOKENS:
-            self.ids_of.clear()
-        held = self.ids_of
-        self.learn([p for p in set().union(*pieces) if p not in held])
+        if len(self.ids_of) > CACHE_PRETOKENS // 2:
+            self.ids_of, self.old = {}, self.ids_of
+        held, old = self.ids_of, self.old
+        new = [p for p in set().union(*pieces) if p not in held]
+        held.update((p, old[p]) for p in new if p in old)
+        self.learn([p for p in new if p not in held])
         get = held.__getitem__
         return [b"".join(map(get, x)) for x in pieces]
 
