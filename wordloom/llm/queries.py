@@ -41,7 +41,7 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_token_archive(spark: SparkSession, folder: str) -> DataFrame:
-    path, manifest, dictionary = token_archive.write_archive(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID, added=True)
+    path, manifest, dictionary = token_archive.write_archive(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID)
     return token_archive.digest(token_archive.read_archive(path, manifest, dictionary))
 
 
@@ -72,5 +72,36 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+#: A SHA-1 in hexadecimal as base32: five digits at a time are four letters.
+_BASE32 = "list_aggregate(list_transform(range(0, 8), lambda i: list_aggregate(list_transform([15, 10, 5, 0], lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(h, CAST(5 * i + 1 AS INTEGER), 5) AS INTEGER) >> b) & 31) + 1, 1)), 'string_agg', '')), 'string_agg', '')"
+
+OP6_SQL = f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages WHERE page_id IS NOT NULL),
+q AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h, min(page_id) OVER (PARTITION BY b) AS f FROM p)
+SELECT page_id, n AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> f THEN f END AS refers_to FROM q
+"""
+
+OP9_SQL = """
+WITH m AS (SELECT conv_id AS conversation, turn, CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE role END AS kind, CASE role WHEN 'user' THEN 't' || turn WHEN 'assistant' THEN 't' || (turn - 1) END AS call_id, text FROM conversations),
+c AS (SELECT DISTINCT conversation, call_id, turn FROM m WHERE kind = 'call'), r AS (SELECT DISTINCT conversation, call_id FROM m WHERE kind = 'result')
+SELECT m.conversation, m.turn, m.kind, m.call_id, CASE WHEN m.kind = 'result' THEN greatest(m.turn, c.turn) ELSE m.turn END AS sort_turn, CASE WHEN m.kind = 'result' THEN 1 ELSE 0 END AS sort_phase,
+CASE m.kind WHEN 'call' THEN r.call_id IS NOT NULL WHEN 'result' THEN c.call_id IS NOT NULL END AS linked, CASE m.kind WHEN 'call' THEN true END AS valid,
+'{' || concat_ws(',', CASE WHEN m.kind = 'call' THEN '"arguments":{"prompt":' || to_json(coalesce(m.text, '')) || ',"turn":' || m.turn || '}' END, '"call_id":' || to_json(m.call_id), CASE WHEN m.kind <> 'call' THEN '"content":' || to_json(m.text) END, '"kind":' || to_json(m.kind), CASE WHEN m.kind = 'call' OR m.kind = 'result' AND c.call_id IS NOT NULL THEN '"name":"reply"' END) || '}' AS message
+FROM m LEFT JOIN c ON m.kind IN ('call', 'result') AND c.conversation = m.conversation AND c.call_id = m.call_id LEFT JOIN r ON m.kind = 'call' AND r.conversation = m.conversation AND r.call_id = m.call_id
+"""
+
+OP10_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x09-\\x0D\\x20]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END)) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 85 * (x.n + y.n - c)),
+l AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+t AS (SELECT u, v FROM l UNION SELECT t.u, l.v FROM t JOIN l ON t.v = l.u)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, least(doc_id, coalesce(z.c, doc_id)) AS component_id FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT u AS doc_id, min(v) AS c FROM t GROUP BY u) z USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the operators that it can express; the others are tested against plain versions."""
+    return {"op6_warc": OP6_SQL, "op9_chat_format": OP9_SQL, "op10_jaccard_join": OP10_SQL}
