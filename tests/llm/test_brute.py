@@ -249,8 +249,14 @@ def test_warc_like_brute_force(spark, tmp_path):
 def test_capture_index_finds_every_url(spark):
     r = random.Random(4)
     rows = [(i, f"http://www.h{r.randint(0, 40)}.com/{r.randint(0, 3)}", f"page {i}") for i in range(700)]
-    path, captures = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"))
-    index = warc.CaptureIndex(path, [tuple(x) for x in warc.write_index(path, captures, block_lines=16).collect()])
+    rows += [(900 + i, "http://often.com/", f"often {i}") for i in range(90)]  # over several blocks
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path, captures = warc.write_archives(pages)
+    files = warc.write_index(path, captures, block_lines=16)
+    index = warc.CaptureIndex(path, [tuple(x) for x in files.collect()])
+    asked = pages.where("page_id % 3 = 0")
+    wanted = {warc.url_key(u) for i, u, _ in rows if i % 3 == 0}
+    assert sorted(x.page_id for x in warc.look_up(path, files, asked).collect()) == sorted(i for i, u, _ in rows if warc.url_key(u) in wanted)
     for url in {u for _, u, _ in rows}:
         assert sorted(warc.parse(x)[2].decode() for x in index.records(url)) == sorted(h for _, u, h in rows if u == url)
     assert index.records("http://h999.com/") == []

@@ -140,7 +140,7 @@ def test_warc(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     path, captures = warc.write_archives(pages)
     directory = warc.write_index(path, captures)
-    got = {r.page_id: tuple(r)[1:] for r in warc.read_archives(path, directory).collect()}
+    got = {r.page_id: tuple(r)[1:] for r in warc.read_archives(path, warc.look_up(path, directory, pages)).collect()}
     sha = lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
     assert got == {2: (9, sha("<p>é</p>"), "response", None), 5: (9, sha("<p>é</p>"), "revisit", 2), 3: (0, sha(""), "response", None), 9: (0, sha(""), "revisit", 3), 4: (5, sha("other"), "response", None)}
     index = warc.CaptureIndex(path, [tuple(r) for r in directory.collect()])
@@ -148,7 +148,7 @@ def test_warc(spark):
     assert warc.parse(raw)[2] == "<p>é</p>".encode() and index.records("http://nowhere.com/") == []
     assert warc.url_key("http://www.Example.com:80/A?B") == "com,example)/a?b"
     path, captures = warc.write_archives(pages, min_bytes=1)
-    assert {r.page_id for r in warc.read_archives(path, warc.write_index(path, captures)).where("record_type = 'revisit'").collect()} == {5}
+    assert {r.page_id for r in warc.read_archives(path, warc.look_up(path, warc.write_index(path, captures), pages)).where("record_type = 'revisit'").collect()} == {5}
 
 
 def test_chat_format(spark):

@@ -46,8 +46,10 @@ def op5_token_archive(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
-    path, captures = warc.write_archives(table(spark, folder, "pages"))
-    return warc.read_archives(path, warc.write_index(path, captures))
+    """Every page's URL is looked up in the index, and the records that it names are read."""
+    pages = table(spark, folder, "pages")
+    path, captures = warc.write_archives(pages)
+    return warc.read_archives(path, warc.look_up(path, warc.write_index(path, captures), pages))
 
 
 def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:

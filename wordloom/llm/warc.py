@@ -2,8 +2,10 @@
 
 Archives are ``.warc.gz`` files, a gzip member a record.  A payload that occurs again is written once: the record with
 the smallest page id is a response, the others revisit it.  The capture index has a line for each record, sorted by
-reversed-host URL key; lines go into compressed blocks, and a sparse directory has the first key, place and length of
-every block.  A look-up searches the directory, reads the blocks that can hold the key, and then the records' ranges.
+reversed-host URL key.  Lines go into compressed blocks; each index file ends in a sparse directory with the first key,
+place and length of its blocks, and a small table names the first and last key of every index file.  A look-up searches
+the table and then a file's directory by halving, reads the blocks that can hold the key, and then the records' ranges.
+Many look-ups go to their index files together, in the order of their keys, so that a block is read once.
 
 Defined results: a null html is an empty payload; a payload of any length is one record; a null url is written as
 ``urn:page:<id>``; rows without a page id are left out; every row is a record, so a row that is repeated is written
@@ -35,6 +37,8 @@ from wordloom.llm.shared import fresh_path, map_in_arrow, materialise, text_slic
 
 DATE = "2000-01-01T00:00:00Z"
 BLOCK_LINES = 512
+#: Bytes at the end of an index file: place and length of its directory.
+FOOTER_BYTES = 16
 #: Records of a file that are read at once, and the gap between two that is read over.
 READ_BYTES, GAP_BYTES = 4 << 20, 64 << 10
 LEVEL = 4
@@ -154,8 +158,30 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id"
     return path, materialise(map_in_arrow(rows, write, "key string, page_id long, file string, offset long, length long"), "warc-captures")
 
 
+class RangeReader:
+    """Ranges of the files of a folder, one file open at a time."""
+
+    def __init__(self, path: str):
+        self.store, self.root = pa.fs.FileSystem.from_uri(path)
+        self.name, self.file = None, None
+
+    def size(self, name: str) -> int:
+        return self.store.get_file_info(posixpath.join(self.root, name)).size
+
+    def fetch(self, name: str, offset: int, length: int) -> bytes:
+        if name != self.name:
+            self.close()
+            self.name, self.file = name, self.store.open_input_file(posixpath.join(self.root, name))
+        return self.file.read_at(length, offset)
+
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
+            self.name = self.file = None
+
+
 def write_index(path: str, captures: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
-    """Sort captures by key and write the blocks; returns the directory ``(key, file, offset, length, lines)``."""
+    """Sort captures by key and write the index files; returns ``(name, first, last, lines)``, a row an index file."""
     parts = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,84 +192,113 @@ def write_index(path: str, captures: DataFrame, block_lines: int = BLOCK_LINES)
         batch = next(batches, None)
         if batch is None:
             return
-        draft, at, blocks = posixpath.join(root, f".{name}.{context.taskAttemptId()}"), 0, []
-        with store.open_output_stream(draft) as out:
+        draft, at, blocks, total, last = posixpath.join(root, f".{name}.{context.taskAttemptId()}"), 0, [], 0, ""
+        with store.open_output_stream(draft, compression=None) as out:
             while batch is not None or lines:
                 while batch is not None and len(lines) < block_lines:
                     lines += zip(*(c.to_pylist() for c in batch.columns), strict=True)
                     batch = next(batches, None)
                 some, lines = lines[:block_lines], lines[block_lines:]
-                raw = gzip.compress("".join(json.dumps(x, ensure_ascii=False) + "\n" for x in some).encode("utf-8", "surrogatepass"), LEVEL, mtime=0)
+                raw = squeezed(some)
                 out.write(raw)
-                blocks.append((some[0][0], name, at, len(raw), len(some)))
-                at += len(raw)
+                blocks.append((some[0][0], at, len(raw)))
+                at, total, last = at + len(raw), total + len(some), some[-1][0]
+            raw = squeezed(blocks)
+            out.write(raw + footer(at, len(raw)))
         store.move(draft, posixpath.join(root, name))
-        keys, names, offsets, sizes, counts = zip(*blocks, strict=True)
-        yield pa.record_batch([pa.array(keys), pa.array(names), pa.array(offsets, pa.int64()), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], ["key", "file", "offset", "length", "lines"])
+        yield pa.record_batch([pa.array([name]), pa.array([blocks[0][0]]), pa.array([last]), pa.array([total], pa.int64())], ["name", "first", "last", "lines"])
 
     placed = captures.repartitionByRange(parts, "key", "page_id", "file", "offset").sortWithinPartitions("key", "page_id", "file", "offset")
-    return materialise(map_in_arrow(placed, write, "key string, file string, offset long, length long, lines long"), "warc-directory")
+    return materialise(map_in_arrow(placed, write, "name string, first string, last string, lines long"), "warc-index")
 
 
-class CaptureIndex:
-    """Look-ups by URL over a sparse directory (one entry a block)."""
+def squeezed(lines: list[tuple]) -> bytes:
+    return gzip.compress("".join(json.dumps(x, ensure_ascii=False) + "\n" for x in lines).encode("utf-8", "surrogatepass"), LEVEL, mtime=0)
 
-    def __init__(self, path: str, directory: list[tuple[str, str, int, int, int]]):
-        self.store, self.root = pa.fs.FileSystem.from_uri(path)
-        self.directory = sorted(directory)
+
+def footer(at: int, length: int) -> bytes:
+    return at.to_bytes(8, "little") + length.to_bytes(8, "little")
+
+
+def unsqueezed(raw: bytes) -> list[list]:
+    return [json.loads(x) for x in gzip.decompress(raw).decode("utf-8", "surrogatepass").split("\n")[:-1]]
+
+
+class IndexFile:
+    """Look-ups in one index file: its directory is held, and the block that was read last."""
+
+    def __init__(self, ranges: RangeReader, name: str):
+        self.ranges, self.name, self.at, self.lines = ranges, name, -1, []
+        size = ranges.size(name)
+        end = ranges.fetch(name, size - FOOTER_BYTES, FOOTER_BYTES)
+        self.directory = unsqueezed(ranges.fetch(name, int.from_bytes(end[:8], "little"), int.from_bytes(end[8:], "little")))
         self.keys = [d[0] for d in self.directory]
 
-    def fetch(self, file: str, offset: int, length: int) -> bytes:
-        with self.store.open_input_file(posixpath.join(self.root, file)) as f:
-            return f.read_at(length, offset)
+    def block(self, k: int) -> list[list]:
+        if k != self.at:
+            self.at, self.lines = k, unsqueezed(self.ranges.fetch(self.name, *self.directory[k][1:]))
+        return self.lines
 
-    def captures(self, url: str) -> list[tuple[str, int, str, int, int]]:
-        key, out = url_key(url), []
-        for _, file, offset, length, _ in self.directory[max(0, bisect.bisect_left(self.keys, key) - 1) : bisect.bisect_right(self.keys, key)]:
-            lines = [json.loads(x) for x in gzip.decompress(self.fetch(file, offset, length)).decode("utf-8", "surrogatepass").splitlines()]
+    def captures(self, key: str) -> Iterator[tuple]:
+        """Lines of a key, which may run over several blocks."""
+        for k in range(max(0, bisect.bisect_left(self.keys, key) - 1), bisect.bisect_right(self.keys, key)):
+            lines = self.block(k)
             at = bisect.bisect_left(lines, [key])
             while at < len(lines) and lines[at][0] == key:
-                out.append(tuple(lines[at]))
+                yield tuple(lines[at])
                 at += 1
-        return out
 
-    def records(self, url: str) -> list[bytes]:
-        return [zlib.decompress(self.fetch(*c[2:]), 31) for c in self.captures(url)]
 
+def files_of(files: list[tuple[str, str, str, int]], key: str) -> list[str]:
+    """Names of the index files, which are in the order of their keys, that can hold a key."""
+    a, b = bisect.bisect_left(files, key, key=lambda f: f[2]), bisect.bisect_right(files, key, key=lambda f: f[1])
+    return [f[0] for f in files[a:b]]
 
-def read_captures(path: str, directory: DataFrame) -> DataFrame:
-    """Every line of the index, ``(page_id, file, offset, length)``, a block at a time."""
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranges = RangeReader(path)
-        for batch in batches:
-            for place in zip(*(batch.column(k).to_pylist() for k in ("file", "offset", "length")), strict=True):
-                lines = [json.loads(x)[1:] for x in gzip.decompress(ranges.fetch(*place)).decode("utf-8", "surrogatepass").splitlines()]
-                ids, files, offsets, sizes = zip(*lines, strict=True)
-                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(files), pa.array(offsets, pa.int64()), pa.array(sizes, pa.int64())], ["page_id", "file", "offset", "length"])
-        ranges.close()
+class CaptureIndex:
+    """Look-ups by URL, for a few at a time."""
 
-    spread = directory.repartition(int(directory.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return map_in_arrow(spread, read, "page_id long, file string, offset long, length long")
+    def __init__(self, path: str, files: list[tuple[str, str, str, int]]):
+        self.ranges, self.files, self.opened = RangeReader(path), sorted(files), {}
 
+    def captures(self, url: str) -> list[tuple[str, int, str, int, int]]:
+        key, out = url_key(url), []
+        for name in files_of(self.files, key):
+            if name not in self.opened:
+                self.opened[name] = IndexFile(self.ranges, name)
+            out += self.opened[name].captures(key)
+        return out
 
-class RangeReader:
-    """Ranges of the files of a folder, one file open at a time."""
+    def records(self, url: str) -> list[bytes]:
+        return [zlib.decompress(self.ranges.fetch(*c[2:]), 31) for c in self.captures(url)]
 
-    def __init__(self, path: str):
-        self.store, self.root = pa.fs.FileSystem.from_uri(path)
-        self.name, self.file = None, None
 
-    def fetch(self, name: str, offset: int, length: int) -> bytes:
-        if name != self.name:
-            self.close()
-            self.name, self.file = name, self.store.open_input_file(posixpath.join(self.root, name))
-        return self.file.read_at(length, offset)
+def look_up(path: str, index: DataFrame, urls: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """The captures ``(page_id, file, offset, length)`` of all URLs of a table; a null URL is its page's own."""
+    files = sorted(tuple(r) for r in index.collect())  # a row an index file, as many as shuffle partitions at most
+    parts = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def close(self) -> None:
-        if self.file is not None:
-            self.file.close()
-            self.name = self.file = None
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = {url_key(url) if url else f"urn:page:{page_id}" for page_id, url in zip(*(c.to_pylist() for c in batch.columns), strict=True)}
+            found = [(name, key) for key in keys for name in files_of(files, key)]
+            yield pa.record_batch([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string())], ["name", "key"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranges, opened = RangeReader(path), None
+        for batch in batches:
+            out = []
+            for name, key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if opened is None or opened.name != name:
+                    opened = IndexFile(ranges, name)
+                out += [c[1:] for c in opened.captures(key)]
+            cols = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], ["page_id", "file", "offset", "length"])
+        ranges.close()
+
+    rows = urls.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"))
+    keys = map_in_arrow(rows, place, "name string, key string").distinct()
+    return map_in_arrow(keys.repartitionByRange(parts, "name", "key").sortWithinPartitions("name", "key"), search, "page_id long, file string, offset long, length long")
 
 
 def runs_of(places: list[tuple[str, int, int]]) -> Iterator[list[tuple[str, int, int]]]:
@@ -258,10 +313,10 @@ def runs_of(places: list[tuple[str, int, int]]) -> Iterator[list[tuple[str, int,
         yield held
 
 
-def read_archives(path: str, directory: DataFrame) -> DataFrame:
-    """Every record that the index names, checked against its digest.
+def read_archives(path: str, captures: DataFrame) -> DataFrame:
+    """The records of captures ``(page_id, file, offset, length)``, checked against their digests.
 
-    The index's lines are dealt out by file and offset, so archives are read in order, neighbouring records together.
+    Captures are dealt out by file and offset, so archives are read in order, neighbouring records together.
     """
 
     def described(raw: bytes) -> tuple:
@@ -281,6 +336,6 @@ def read_archives(path: str, directory: DataFrame) -> DataFrame:
                 yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests), pa.array(kinds), pa.array(refers, pa.int64())], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
         ranges.close()
 
-    parts = int(directory.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = read_captures(path, directory).repartitionByRange(parts, "file", "offset").sortWithinPartitions("file", "offset")
+    parts = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = captures.select("page_id", "file", "offset", "length").repartitionByRange(parts, "file", "offset").sortWithinPartitions("file", "offset")
     return map_in_arrow(placed, read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
