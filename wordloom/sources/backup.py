@@ -221,44 +221,59 @@ def import_tables(spark: SparkSession, path: str, targets: dict[str, DataFrame],
     column, a value that its column can't hold and a missing time are errors.
     """
     records, progress = read_records(spark, path), progress or Silent()
-    if bad := records.where(F.try_parse_json("value").isNull()).select("value").take(1):
-        raise BackupError(f"decode record: {bad[0].value[:80]!r} is not JSON")
-    metas = [json.loads(r.value) for r in records.where("type = 'meta'").orderBy(F.desc("__at")).select("value").take(1)]  # the last one counts
     wanted = select_tables(names, targets)
+    # one pass over the lines finds the first fault, the last meta record and the tables' numbers of rows
+    fault = F.when(F.try_parse_json("value").isNull(), F.concat(F.lit("decode record: not JSON: "), F.substring("value", 1, 80)))
+    for name in wanted:
+        fault = fault.when(F.col("type") == name, faults(name, targets[name].schema, F.col("payload")))
+    place = lambda c, cond: F.when(cond, F.struct("__at", c.alias("x")))
+    seen = records.withColumn("__fault", fault).agg(
+        F.min(place(F.col("__fault"), F.col("__fault").isNotNull())).alias("fault"),
+        F.max(place(F.col("value"), F.col("type") == "meta")).alias("meta"),
+        *(F.count(F.when(F.col("type") == n, 1)).alias(f"n_{n}") for n in wanted),
+    ).first()
+    if seen.fault:
+        raise BackupError(seen.fault.x)
+    if not seen.meta:
+        raise BackupError("missing meta record")
+    meta = json.loads(seen.meta.x)
+    if meta.get("version") != VERSION:
+        raise BackupError(f"unsupported format version {meta.get('version')}")
+    if strict_hash and meta.get("schema_hash") != fingerprint({n: targets[n].schema for n in meta["tables"]}):
+        raise BackupError("the backup's schema differs")
     out = {}
     for name in wanted:
+        progress.start(name, seen[f"n_{name}"])
         target = targets[name]
-        rows = records.where(F.col("type") == name)
-        if not rows.where(F.col("payload").isNull()).isEmpty():
-            raise BackupError(f"missing payload for table {name}")
-        unknown = rows.select(F.explode(F.json_object_keys("payload")).alias("k")).where(~F.col("k").isin(target.columns)).take(1)
-        if unknown:
-            raise BackupError(f"column {unknown[0].k} not found in table {name}")
-        texts = StructType([StructField(f.name, StringType()) for f in target.schema])
-        raw = rows.select(F.from_json("payload", texts).alias("r"), F.json_object_keys("payload").alias("__has"), "__at")
-        # an empty time is an absent one
-        value = {f.name: F.when(F.col("r")[f.name] != "", F.col("r")[f.name]) if f.dataType.typeName().startswith("timestamp") else F.col("r")[f.name] for f in target.schema}
-        lost = F.coalesce(*(F.when(value[f.name].isNotNull() & parsed(value[f.name], f.dataType).isNull(), F.concat(F.lit(f"{name}.{f.name}: invalid value "), value[f.name])) for f in target.schema))
-        if wrong := raw.select(lost.alias("e")).where("e IS NOT NULL").take(1):
-            raise BackupError(f"convert {wrong[0].e}")
-        filled = raw.select(*(default(parsed(value[f.name], f.dataType), f, name).alias(f.name) for f in target.schema), "__has", "__at")
-        needed = [f.name for f in target.schema if f.dataType.typeName().startswith("timestamp") and f.name not in NULLABLE.get(name, ())]
-        for column in needed:
-            if not filled.where(F.col(column).isNull()).isEmpty():
-                raise BackupError(f"missing required value for {name}.{column}")
+        texts = texts_of(F.col("r"), target.schema)
+        raw = records.where(F.col("type") == name).select(F.from_json("payload", text_schema(target.schema)).alias("r"), F.json_object_keys("payload").alias("__has"), "__at")
+        filled = raw.select(*(default(parsed(texts[f.name], f.dataType), f, name).alias(f.name) for f in target.schema), "__has", "__at")
         key = list(UNIQUE.get(name, [(target.columns[0],)])[0])
-        progress.start(name, rows.count() if not isinstance(progress, Silent) else 0)
         out[name] = merged(target, last_by_key(filled, key, "__at").drop("__at"), key)
+        progress.increment(name, seen[f"n_{name}"])
         progress.finish(name)
-    if not metas:
-        raise BackupError("missing meta record")
-    if metas[0].get("version") != VERSION:
-        raise BackupError(f"unsupported format version {metas[0].get('version')}")
-    if strict_hash and metas[0].get("schema_hash") != fingerprint({n: targets[n].schema for n in metas[0]["tables"]}):
-        raise BackupError("the backup's schema differs")
     return out
 
 
+def text_schema(schema: StructType) -> StructType:
+    return StructType([StructField(f.name, StringType()) for f in schema])
+
+
+def texts_of(r: Column, schema: StructType) -> dict[str, Column]:
+    """The text of each column's value in a parsed payload; an empty time is an absent one."""
+    return {f.name: F.when(r[f.name] != "", r[f.name]) if f.dataType.typeName().startswith("timestamp") else r[f.name] for f in schema}
+
+
+def faults(name: str, schema: StructType, payload: Column) -> Column:
+    """What is wrong with a record of a table, null if nothing is."""
+    texts = texts_of(F.from_json(payload, text_schema(schema)), schema)
+    unknown = F.get(F.array_except(F.json_object_keys(payload), F.lit(schema.fieldNames())), 0)
+    lost = [F.when(texts[f.name].isNotNull() & parsed(texts[f.name], f.dataType).isNull(), F.concat(F.lit(f"convert {name}.{f.name}: invalid value "), texts[f.name])) for f in schema]
+    needed = [f.name for f in schema if f.dataType.typeName().startswith("timestamp") and f.name not in NULLABLE.get(name, ())]
+    absent = [F.when(texts[c].isNull(), F.lit(f"missing required value for {name}.{c}")) for c in needed]
+    return F.coalesce(F.when(payload.isNull(), F.lit(f"missing payload for table {name}")), F.concat(F.lit("column "), unknown, F.lit(f" not found in table {name}")), *lost, *absent)
+
+
 def merged(target: DataFrame, source: DataFrame, key: list[str]) -> DataFrame:
     """Rows of both; where both have a key, the source's columns that its record had."""
     rest = [c for c in target.columns if c not in key]
