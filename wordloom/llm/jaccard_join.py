@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.llm.components import connected_components
-from wordloom.llm.shared import bounded_sample, filtered, grouped, id_filter, map_batches, map_in_arrow, materialise, screened, spotted, text_slices
+from wordloom.llm.shared import IdFilter, bounded_sample, grouped, map_batches, map_in_arrow, materialise, text_slices
 
 #: Documents looked at for very frequent shingles, about, at most; a shingle in HOT_DOCS of them is one; at most MAX_HOT.
 SAMPLE_DOCS, HOT_DOCS, MAX_HOT = 4_096, 8, 1 << 16
@@ -286,13 +286,13 @@ class Join:
     def pairs(self, rows: DataFrame, prefix_only: bool, known=None) -> DataFrame:
         """``(bucket, pairs)``: (shingle, fingerprint) pairs of the texts' shingles that aren't frequent, dealt by shingle.
 
-        With ``known``, an id filter, ``rows`` have its places, and only rows that it knows count.
+        With ``known``, an id filter's table, ``rows`` have its places, and only rows that it knows count.
         """
         width, num, den, hot, buckets = self.width, self.num, self.den, self.hot, self.buckets
 
         def made(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
             for batch in batches:
-                for piece in text_slices(screened(batch, known) if known else batch, "text", SLICE):
+                for piece in text_slices(IdFilter.screened(batch, known) if known else batch, "text", SLICE):
                     code, offsets = shingle_sets(piece.column(1).to_pylist(), width)
                     n, fp = np.diff(offsets), fingerprints(code, offsets)
                     first = np.zeros(len(n), bool)
@@ -339,11 +339,12 @@ class Join:
 
     def texts_of(self, chosen: DataFrame) -> DataFrame:
         """Rows of the documents whose ids are the chosen vertices' ``rep``, and perhaps a few more: no shuffle of texts."""
-        return filtered(self.rows.select("id", "text"), "id", id_filter(chosen, "rep"), True)
+        return IdFilter(chosen, "rep").filtered(self.rows.select("id", "text"), "id", True)
 
     def keys(self, chosen: DataFrame) -> DataFrame:
         """``(token, fp)``: the rarest shingles of the vertices that can have a partner among the chosen ones."""
-        rows, known = spotted(self.rows.select("id", "text"), "id"), id_filter(chosen, "rep")
+        wanted = IdFilter(chosen, "rep")
+        rows, known = wanted.spotted(self.rows.select("id", "text"), "id"), wanted.table
         buckets, width, num, den, hot = self.buckets, self.width, self.num, self.den, self.hot
         frequent = np.iinfo(np.int64).max
 
@@ -358,7 +359,7 @@ class Join:
         def described(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
             """Sizes (with df 0) and frequent shingles, which the counts leave out."""
             for batch in batches:
-                for piece in text_slices(screened(batch, known), "text", SLICE):
+                for piece in text_slices(IdFilter.screened(batch, known), "text", SLICE):
                     code, offsets = shingle_sets(piece.column(1).to_pylist(), width)
                     n, fp = np.diff(offsets), fingerprints(code, offsets)
                     here, sized = member(code, hot.value), n > 0
@@ -509,11 +510,11 @@ def one_of_each(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, id_
     found = materialise(join_components(docs, width, num, den, id_col, text_col), "join-found")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
     twice = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__gone"))
-    known = id_filter(gone.union(twice), "__gone")
+    known = IdFilter(gone.union(twice), "__gone")
     own = "__id"
     while own in docs.columns:
         own += "_"
     keyed = docs.withColumn(own, F.coalesce(F.col(id_col).cast("long"), F.lit(0)))
-    doubtful = filtered(keyed, own, known, True)
+    doubtful = known.filtered(keyed, own, True)
     named = doubtful.where(F.col(id_col).isNotNull()).join(gone.withColumnRenamed("__gone", f"{own}_"), F.col(own) == F.col(f"{own}_"), "left_anti").dropDuplicates([id_col, text_col])
-    return filtered(keyed, own, known, False).union(named).union(doubtful.where(F.col(id_col).isNull())).drop(own)
+    return known.filtered(keyed, own, False).union(named).union(doubtful.where(F.col(id_col).isNull())).drop(own)

@@ -102,44 +102,46 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
         yield last, held
 
 
-#: Bits of an id filter (1 MB): it takes 5 % of other ids for known at a million, and more beyond, which costs work only.
-FILTER_BITS = 1 << 23
-
-
-def _spots(column: str) -> list[Column]:
-    return [F.pmod(F.xxhash64(F.col(column), F.lit(seed)), F.lit(FILTER_BITS)) for seed in (1, 2)]
-
-
-def id_filter(ids: DataFrame, column: str):
-    """A broadcast bitmap (1 MB) that knows every id of ``ids``, and takes some others for known."""
-    bits = ids.select(F.explode(F.array(*_spots(column))).alias("bit")).groupBy(F.shiftright("bit", 5).alias("word"))
-    table = np.zeros(FILTER_BITS // 32, np.int64)
-    for r in bits.agg(F.expr("bit_or(shiftleft(1L, cast(bit & 31 as int)))").alias("bits")).collect():  # FILTER_BITS / 32 rows at most
-        table[r.word] = r.bits
-    return ids.sparkSession.sparkContext.broadcast(table)
-
-
-def spotted(df: DataFrame, column: str) -> DataFrame:
-    """``df`` with the filter's places of an id behind its columns."""
-    return df.select("*", *(x.alias(f"__spot{i}") for i, x in enumerate(_spots(column))))
-
-
-def screened(batch: pa.RecordBatch, known, inside: bool = True) -> pa.RecordBatch:
-    """Of a batch with places, the rows whose id the filter takes for known, or those that it doesn't, without the places."""
-    width = batch.num_columns - 2
-    here = np.ones(batch.num_rows, bool)
-    for k in (width, width + 1):
-        bit = batch.column(k).to_numpy()
-        here &= (known.value[bit >> 5] >> (bit & 31)) & 1 == 1
-    return batch.select(range(width)).filter(pa.array(here == inside))
-
-
-def filtered(df: DataFrame, column: str, known, inside: bool) -> DataFrame:
-    """Rows whose id the filter takes for known, or those that it doesn't; no shuffle."""
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if (some := screened(batch, known, inside)).num_rows:
-                yield some
-
-    return map_in_arrow(spotted(df, column), keep, df.schema)
+#: Bits of an id filter: eight an id, in these bounds (128 KB to 8 MB).  Beyond them it takes more ids for known, which costs work only.
+FILTER_BITS = 1 << 20, 1 << 26
+
+
+class IdFilter:
+    """A broadcast bitmap that knows every id of a table, and takes some others for known."""
+
+    def __init__(self, ids: DataFrame, column: str):
+        low, high = FILTER_BITS
+        self.bits = min(high, max(low, 1 << (8 * ids.count()).bit_length()))
+        bits = ids.select(F.explode(F.array(*self.spots(column))).alias("bit")).groupBy(F.shiftright("bit", 5).alias("word"))
+        found = bits.agg(F.expr("bit_or(shiftleft(1L, cast(bit & 31 as int)))").alias("bits")).toArrow()  # bits / 32 rows at most
+        table = np.zeros(self.bits // 32, np.uint32)
+        table[found.column("word").to_numpy()] = found.column("bits").to_numpy().astype(np.uint32)
+        self.table = ids.sparkSession.sparkContext.broadcast(table)
+
+    def spots(self, column: str) -> list[Column]:
+        return [F.pmod(F.xxhash64(F.col(column), F.lit(seed)), F.lit(self.bits)) for seed in (1, 2)]
+
+    def spotted(self, df: DataFrame, column: str) -> DataFrame:
+        """``df`` with the filter's places of an id behind its columns."""
+        return df.select("*", *(x.alias(f"__spot{i}") for i, x in enumerate(self.spots(column))))
+
+    @staticmethod
+    def screened(batch: pa.RecordBatch, table, inside: bool = True) -> pa.RecordBatch:
+        """Of a batch with places, the rows whose id the broadcast table takes for known, or those that it doesn't, without the places."""
+        width = batch.num_columns - 2
+        here = np.ones(batch.num_rows, bool)
+        for k in (width, width + 1):
+            bit = batch.column(k).to_numpy()
+            here &= (table.value[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1 == 1
+        return batch.select(range(width)).filter(pa.array(here == inside))
+
+    def filtered(self, df: DataFrame, column: str, inside: bool) -> DataFrame:
+        """Rows whose id the filter takes for known, or those that it doesn't; no shuffle."""
+        table, screened = self.table, self.screened
+
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if (some := screened(batch, table, inside)).num_rows:
+                    yield some
+
+        return map_in_arrow(self.spotted(df, column), keep, df.schema)
