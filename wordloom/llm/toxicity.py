@@ -8,13 +8,16 @@ of a single word is kept too.  The text's words, restored ones among them, are t
 lower confidence bound of the share of labelled texts with them that are toxic, and a logistic model of the strongest
 ones gives the score.
 
-Defined results: null and empty texts get the score of a text without any known stem; labels that are null, or whose
-document is missing, teach nothing; with no labels at all every score is 0; a document that is repeated or labelled
-twice counts as often as its pairs occur; extra columns are ignored.
+Defined results: null and empty texts get the score of a text without any known stem; texts of any length are scored
+whole; labels that are null, or whose document is missing, teach nothing; with no labels at all every score is 0; of
+equally strong stems each counts once; a document that is repeated or labelled twice counts as often as its pairs occur;
+an empty table gives no rows; kept columns may not be called ``score`` or ``predicted``; other columns, whatever their
+names, are ignored by ``score`` and kept by ``without_toxic``.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import unicodedata
@@ -26,12 +29,13 @@ from pyspark.sql import functions as F
 
 from wordloom.llm.shared import bounded_sample, map_batches, materialise
 
-#: Labelled documents that the scorer is fitted on, about, at most; stems that it holds at most.
-TRAIN_DOCS, MAX_STEMS = 60_000, 20_000
+#: Labelled documents that the scorer is fitted on, about, at most.
+TRAIN_DOCS = 60_000
 #: A stem counts from so many labelled documents on.
 MIN_DOCS = 4
 STEM_LENGTHS = (4, 5, 6)
-CACHE_WORDS = 300_000
+#: Tokens whose strongest stem a worker remembers; of those that it decodes, and whose stems it lists, a quarter.
+CACHE_WORDS = 200_000
 
 # What a symbol is written in place of.
 STANDS_FOR = {
@@ -48,6 +52,9 @@ SYMBOLS, MARK = 27, 26  # letters a-z and the word mark
 WORD = re.compile(r"[^\W\d_]+")
 #: A letter twice in a row.
 REPEATED = re.compile(r"([^\W\d_])\1")
+REPEATED_RUN = re.compile(r"(.)\1+", re.S)
+#: Letters at a word's beginning that every stem has, or all of a shorter one.
+HEAD = 4
 #: Single characters between white space, one after another, are taken for spaced-out words.
 SPACED = re.compile(r"(?<!\S)\S(?:\s++\S(?!\S))+")
 GAP = re.compile(r"\s+")
@@ -66,17 +73,22 @@ def letter(char: str) -> int:
     return ord(base) - 97 if "a" <= base <= "z" else -1
 
 
-_LETTERS = {}
+@functools.lru_cache(100_000)
+def base_letter(char: str) -> str:
+    """The letter a-z of a character, '' if it has none."""
+    k = letter(char)
+    return chr(97 + k) if k >= 0 else ""
 
 
-def letters_of(word: str) -> list[int]:
-    out = []
-    for c in word:
-        if (k := _LETTERS.get(c)) is None:
-            k = _LETTERS[c] = letter(c)
-        if k >= 0:
-            out.append(k)
-    return out
+def has_plain_form(token: str) -> bool:
+    """Whether every letter of a token has a letter a-z."""
+    return token.isascii() or all(map(base_letter, token))
+
+
+def plain_forms(token: str) -> tuple[str, ...]:
+    """A token of letters without repeats, as written and in letters a-z."""
+    forms = (token,) if token.isascii() else (token, "".join(map(base_letter, token)))
+    return tuple(REPEATED_RUN.sub(r"\1", x) if REPEATED.search(x) else x for x in forms)
 
 
 def trigram_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -107,48 +119,68 @@ class CharModel:
         p1 = (one + 1) / (one.sum() + SYMBOLS)
         p2 = (two + 20 * p1) / (two.sum(1, keepdims=True) + 20)
         p3 = (three + 20 * p2[None]) / (three.sum(2, keepdims=True) + 20)
-        self.log = np.log(p3).tolist()
+        #: By history (two symbols as one number), then by symbol.
+        self.log = np.log(p3).reshape(SYMBOLS * SYMBOLS, SYMBOLS).tolist()
+        self.known: dict[tuple[str, bool, bool], tuple[tuple[int, float], ...]] = {}
+
+    def options(self, char: str, again: bool, marks: bool) -> tuple[tuple[int, float], ...]:
+        """What a character can stand for (a letter, the word mark, or -1 for nothing) at which cost."""
+        if (held := self.known.get((char, again, marks))) is not None:
+            return held
+        out: list[tuple[int, float]] = []
+        k = letter(char)
+        if k >= 0:
+            out.append((k, KEEP_REPEAT if again else 0.0))
+            if again:
+                out.append((-1, DROP))
+        else:
+            out += [(ord(x) - 97, SWAP) for x in STANDS_FOR.get(char, "")]
+            if marks:
+                out.append((MARK, MARK_SYMBOL if out else 0.0 if char == WIDE else DROP))
+            if char == WIDE:
+                out.append((-1, DROP_WIDE))
+            elif char in SEPARATORS or char.isspace():
+                out.append((-1, DROP))
+            elif again or char not in STANDS_FOR:
+                out.append((-1, 2 * DROP))
+        if len(self.known) >= 100_000:
+            self.known.clear()
+        self.known[char, again, marks] = tuple(out)
+        return tuple(out)
 
     def decode(self, chars: str, marks: bool = True) -> list[str]:
-        """The words of the likeliest path behind ``chars``; the beam holds the best path of every two-symbol history.
+        """The words of the likeliest path behind ``chars``."""
+        return self.path(chars, marks).split()
+
+    def path(self, chars: str, marks: bool = True) -> str:
+        """The likeliest path behind ``chars``, a space for a word mark; the beam holds the best path of every two-symbol history.
 
         Without ``marks`` there is one word.  A path is a chain of (path before, symbol).
         """
-        beam: dict[tuple[int, int], tuple[float, tuple | None]] = {(MARK, MARK): (0.0, None)}
+        log, start = self.log, MARK * SYMBOLS + MARK
+        beam: dict[int, tuple[float, tuple | None]] = {start: (0.0, None)}
         last = ""
         for char in chars.lower():
-            options: list[tuple[int, float]] = []  # letter, word mark or -1 for none, and its cost
-            k = letter(char)
-            if k >= 0:
-                options.append((k, KEEP_REPEAT if char == last else 0.0))
-                if char == last:
-                    options.append((-1, DROP))
-            else:
-                options += [(ord(x) - 97, SWAP) for x in STANDS_FOR.get(char, "")]
-                if marks:
-                    options.append((MARK, MARK_SYMBOL if options else 0.0 if char == WIDE else DROP))
-                if char == WIDE:
-                    options.append((-1, DROP_WIDE))
-                elif char in SEPARATORS or char.isspace():
-                    options.append((-1, DROP))
-                elif char == last or char not in STANDS_FOR:
-                    options.append((-1, 2 * DROP))
-            step: dict[tuple[int, int], tuple[float, tuple | None]] = {}
-            for (a, b), (score, said) in beam.items():
-                for k, cost in options:
+            step: dict[int, tuple[float, tuple | None]] = {}
+            for k, cost in self.options(char, char == last, marks):
+                for at, (score, said) in beam.items():
+                    b = at % SYMBOLS
                     if k < 0 or k == b == MARK:  # one mark after another says nothing new
-                        key, s, w = (a, b), score - cost, said
+                        key, s, way = at, score - cost, said
                     else:
-                        key, s, w = (b, k), score - cost + self.log[a][b][k], (said, k)
+                        key, s, way = b * SYMBOLS + k, score - cost + log[at][k], (said, k)
                     if key not in step or s > step[key][0]:
-                        step[key] = (s, w)
+                        step[key] = (s, way)
             beam, last = step, char
-        _, _, said = max(((score + (self.log[a][b][MARK] if b != MARK else 0.0), (a, b), said) for (a, b), (score, said) in beam.items()), key=lambda x: x[:2])
+        _, _, said = max(((score + (log[at][MARK] if at % SYMBOLS != MARK else 0.0), at, said) for at, (score, said) in beam.items()), key=lambda x: x[:2])
         out = []
         while said:
             said, k = said
             out.append(" " if k == MARK else chr(97 + k))
-        return "".join(reversed(out)).split()
+        return "".join(reversed(out))
+
+
+NO_STEM = (0.0, "")
 
 
 def stems_of(word: str) -> list[str]:
@@ -164,28 +196,32 @@ def lower_bound(hit: float, n: float, z: float = 1.64) -> float:
 
 class Scorer:
     def __init__(self, chars: CharModel):
-        self.chars, self.stems, self.weights = chars, {}, None
-        self.restored, self.strength = {}, {}
+        self.chars, self.weights = chars, None
+        self.know({})
+        self.restored, self.strength, self.stems_by = {}, {}, {}
 
     def __getstate__(self):
-        return self.__dict__ | {"restored": {}, "strength": {}}
+        return self.__dict__ | {"restored": {}, "strength": {}, "stems_by": {}}
 
     def restore(self, token: str) -> tuple[str, ...]:
         """The words that a token stands for, and the one that it is if no symbol ends a word."""
         token = token.strip(EDGES)
         if (x := self.restored.get(token)) is None:
-            x = self.chars.decode(token)
-            if len(x) > 1:
+            path = self.chars.path(token)
+            x = path.split()
+            if " " in path or token[:1] in STANDS_FOR:  # a mark before the first letter leaves no trace
                 x += self.chars.decode(token, marks=False)
             x = tuple(dict.fromkeys(x))
             if len(token) <= LONGEST_TOKEN:
-                if len(self.restored) >= CACHE_WORDS:
+                if len(self.restored) >= CACHE_WORDS // 4:
                     self.restored.clear()
                 self.restored[token] = x
         return x
 
     def token_words(self, token: str) -> list[str]:
         """The words of a lower-cased token as written, and as restored unless it is plain: letters, none repeated."""
+        if token.isalpha() and not REPEATED.search(token):
+            return [token]
         found = [token] if token.isalpha() else WORD.findall(token)
         if found:
             for inner in dict.fromkeys((token.strip(EDGES), token.strip(SYMBOL_EDGES))):
@@ -202,23 +238,63 @@ class Scorer:
             out += self.restore("".join(c + (WIDE if len(g) > least else " ") for c, g in zip(GAP.split(m[0]), [*gaps, " "], strict=True)).strip())
         return out
 
-    def words(self, text: str) -> set[str]:
-        """Distinct words of the text as written and as restored."""
-        text = text.lower()
-        return set().union(*map(self.token_words, set(text.split())), self.spaced_words(text)) - {""}
+    def tokens(self, text: str | None) -> set[str]:
+        """Distinct tokens of a text and the words of its runs of single characters."""
+        text = (text or "").lower()
+        return {*text.split(), *self.spaced_words(text)}
+
+    def stems_in(self, text: str) -> set[str]:
+        """Distinct stems of the text's words, as written and as restored."""
+        held, out = self.stems_by, []
+        for token in self.tokens(text):
+            if (x := held.get(token)) is None:
+                if len(held) >= CACHE_WORDS // 4:
+                    held.clear()
+                x = held[token] = tuple({s for w in self.token_words(token) for s in stems_of(w)})
+            out.append(x)
+        return set().union(*out)
+
+    def know(self, stems: dict[str, float]) -> None:
+        """Take up stems with their strengths, and the beginnings by which a token that has none is told at once."""
+        self.stems = stems
+        self.heads = {s[:HEAD] for s in stems}
+        squeezed = lambda found: {REPEATED_RUN.sub(r"\1", s) for s in found}
+        self.squeezed = squeezed(s[:-1] for s in stems if s.endswith("*")), squeezed(s for s in stems if not s.endswith("*"))
+        self.lengths = sorted({len(s) for s in self.squeezed[0]})
+
+    def may_have_stem(self, token: str) -> bool:
+        """Whether a token's words can have a stem.
+
+        What a token of letters can be restored to differs in marks and repeats only, so its beginnings without them tell.
+        """
+        beginnings, words = self.squeezed
+        for f in plain_forms(token):
+            if f in words:
+                return True
+            for n in self.lengths:
+                if f[:n] in beginnings:
+                    return True
+        return False
 
     def strongest(self, token: str) -> tuple[float, str]:
         """The strongest stem of a token's words, (0, "") if it has none."""
-        if (x := self.strength.get(token)) is None:
-            if len(self.strength) >= CACHE_WORDS:
-                self.strength.clear()
-            x = self.strength[token] = max(((self.stems[s], s) for w in self.token_words(token) for s in stems_of(w) if s in self.stems), default=(0.0, ""))
-        return x
+        if token.isalpha() and has_plain_form(token) and not self.may_have_stem(token):
+            return NO_STEM
+        best, known, heads = NO_STEM, self.stems, self.heads
+        for w in self.token_words(token):
+            if w[:HEAD] in heads:
+                for s in stems_of(w):
+                    if (x := known.get(s)) is not None and (x, s) > best:
+                        best = (x, s)
+        return best
 
     def features(self, text: str | None) -> list[float]:
-        text = (text or "").lower()
-        found = set(map(self.strongest, {*text.split(), *self.spaced_words(text)}))
-        top = sorted((x for x, _ in found), reverse=True)[:3]
+        tokens, held = self.tokens(text), self.strength
+        if len(held) >= CACHE_WORDS:
+            held.clear()
+        for token in [t for t in tokens if t not in held]:
+            held[token] = self.strongest(token)
+        top = sorted((x for x, _ in set(map(held.__getitem__, tokens))), reverse=True)[:3]
         top += [0.0] * (3 - len(top))
         return [1.0, top[0], top[1], top[2]]
 
@@ -238,7 +314,7 @@ def stem_counts(rows: DataFrame, scorer: Scorer) -> DataFrame:
         def count(batch: pa.RecordBatch) -> pa.RecordBatch:
             total: Counter = Counter()
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total.update((s, toxic) for s in {s for w in held.value.words(text) for s in stems_of(w)})
+                total.update((s, toxic) for s in held.value.stems_in(text))
             stems, toxic = zip(*total, strict=True) if total else ((), ())
             return pa.record_batch([pa.array(stems, pa.string()), pa.array(toxic, pa.int32()), pa.array(list(total.values()), pa.int64())], ["stem", "toxic", "docs"])
 
@@ -263,8 +339,8 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", key: str = "
     wide = stem_counts(rows, scorer).groupBy("stem").agg(F.sum(F.when(F.col("toxic") == 1, F.col("docs")).otherwise(0)).alias("hit"), F.sum("docs").alias("n"))
     share = size.get(1, 0) / sum(size.values())
     likely = wide.where((F.col("n") >= MIN_DOCS) & (F.col("hit") > F.col("n") * min(0.5, 1.5 * share)))
-    for r in likely.orderBy(F.desc("hit"), "stem").limit(MAX_STEMS).collect():
-        scorer.stems[r.stem] = lower_bound(r.hit, r.n)
+    bounds = {r.stem: lower_bound(r.hit, r.n) for r in likely.collect()}  # stems of ``train_docs`` documents, MIN_DOCS of them at least
+    scorer.know({stem: x for stem, x in bounds.items() if x > share})  # others may be as toxic as any text
     held = spark.sparkContext.broadcast(scorer)
 
     def make():
@@ -288,6 +364,8 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", key: str = "
 def score(df: DataFrame, scorer: Scorer, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns with ``score`` and ``predicted``."""
     held = df.sparkSession.sparkContext.broadcast(scorer)
+    if taken := {"score", "predicted"}.intersection(keep):
+        raise ValueError(f"kept columns clash with those of the result: {sorted(taken)}")
     rows = df.select(*keep, F.col(text_col).alias("__text"))
 
     def make():
