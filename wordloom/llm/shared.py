@@ -54,13 +54,18 @@ def release() -> None:
 
 
 def map_in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``mapInArrow`` whose worker gives memory back before and after a task."""
+    """``mapInArrow`` whose worker gives memory back before and after a task.
+
+    The search for cycles of objects rests in between: the operators make none, and their many small objects set it off.
+    """
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()  # what tasks of an earlier stage held
+        gc.disable()
         try:
             yield from run(batches)
         finally:
+            gc.enable()
             release()
 
     return df.mapInArrow(tidy, schema)
