@@ -18,23 +18,26 @@ names, are ignored by ``score`` and kept by ``without_toxic``.
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 import re
 import unicodedata
+from collections import Counter, defaultdict
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.shared import bounded_sample, map_batches, materialise
+from wordloom.llm.shared import SLICE_BYTES, bounded_sample, map_batches, materialise
 
 #: Labelled documents that the scorer is fitted on, about, at most.
 TRAIN_DOCS = 60_000
 #: A stem counts from so many labelled documents on.
 MIN_DOCS = 4
 STEM_LENGTHS = (4, 5, 6)
-#: Tokens whose strongest stem a worker remembers; of those that it decodes, and whose stems it lists, a quarter.
+#: Tokens whose strongest stem a worker remembers; of those whose stems it lists, half of that, and of decoded ones a quarter.
 CACHE_WORDS = 200_000
 
 # What a symbol is written in place of.
@@ -80,15 +83,12 @@ def base_letter(char: str) -> str:
     return chr(97 + k) if k >= 0 else ""
 
 
-def has_plain_form(token: str) -> bool:
-    """Whether every letter of a token has a letter a-z."""
-    return token.isascii() or all(map(base_letter, token))
-
-
 def plain_forms(token: str) -> tuple[str, ...]:
-    """A token of letters without repeats, as written and in letters a-z."""
-    forms = (token,) if token.isascii() else (token, "".join(map(base_letter, token)))
-    return tuple(REPEATED_RUN.sub(r"\1", x) if REPEATED.search(x) else x for x in forms)
+    """A token of letters without repeats, as written and in letters a-z; nothing if one of them has no such letter."""
+    if token.isascii():
+        return (REPEATED_RUN.sub(r"\1", token) if REPEATED.search(token) else token,)
+    plain = list(map(base_letter, token))
+    return tuple(REPEATED_RUN.sub(r"\1", x) if REPEATED.search(x) else x for x in (token, "".join(plain))) if all(plain) else ()
 
 
 def trigram_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -194,14 +194,38 @@ def lower_bound(hit: float, n: float, z: float = 1.64) -> float:
     return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
+class Recent:
+    """What a function gives for keys; of ``most`` values held, those that weren't asked for lately are forgotten first."""
+
+    def __init__(self, make: Callable[[str], object], most: int):
+        self.make, self.most, self.new, self.old = make, most, {}, {}
+
+    def values(self, keys: set[str]) -> list:
+        if len(self.new) >= self.most // 2:
+            self.new, self.old = {}, self.new
+        new, old = self.new, self.old
+        for key in [k for k in keys if k not in new]:
+            value = old.get(key)
+            new[key] = self.make(key) if value is None else value
+        return list(map(new.__getitem__, keys))
+
+
 class Scorer:
     def __init__(self, chars: CharModel):
         self.chars, self.weights = chars, None
         self.know({})
-        self.restored, self.strength, self.stems_by = {}, {}, {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.restored: dict[str, tuple[str, ...]] = {}
+        self.strength, self.stems_by = Recent(self.strongest, CACHE_WORDS), Recent(self.token_stems, CACHE_WORDS // 2)
 
     def __getstate__(self):
-        return self.__dict__ | {"restored": {}, "strength": {}, "stems_by": {}}
+        return {k: v for k, v in self.__dict__.items() if k not in ("restored", "strength", "stems_by")}
+
+    def __setstate__(self, state):
+        self.__dict__ |= state
+        self.forget()
 
     def restore(self, token: str) -> tuple[str, ...]:
         """The words that a token stands for, and the one that it is if no symbol ends a word."""
@@ -243,16 +267,13 @@ class Scorer:
         text = (text or "").lower()
         return {*text.split(), *self.spaced_words(text)}
 
+    def token_stems(self, token: str) -> tuple[str, ...]:
+        words = self.token_words(token)
+        return tuple(stems_of(words[0]) if len(words) == 1 else {s for w in words for s in stems_of(w)})
+
     def stems_in(self, text: str) -> set[str]:
         """Distinct stems of the text's words, as written and as restored."""
-        held, out = self.stems_by, []
-        for token in self.tokens(text):
-            if (x := held.get(token)) is None:
-                if len(held) >= CACHE_WORDS // 4:
-                    held.clear()
-                x = held[token] = tuple({s for w in self.token_words(token) for s in stems_of(w)})
-            out.append(x)
-        return set().union(*out)
+        return set().union(*self.stems_by.values(self.tokens(text)))
 
     def know(self, stems: dict[str, float]) -> None:
         """Take up stems with their strengths, and the beginnings by which a token that has none is told at once."""
@@ -262,13 +283,13 @@ class Scorer:
         self.squeezed = squeezed(s[:-1] for s in stems if s.endswith("*")), squeezed(s for s in stems if not s.endswith("*"))
         self.lengths = sorted({len(s) for s in self.squeezed[0]})
 
-    def may_have_stem(self, token: str) -> bool:
-        """Whether a token's words can have a stem.
+    def may_have_stem(self, forms: tuple[str, ...]) -> bool:
+        """Whether words of the forms of a token can have a stem.
 
         What a token of letters can be restored to differs in marks and repeats only, so its beginnings without them tell.
         """
         beginnings, words = self.squeezed
-        for f in plain_forms(token):
+        for f in forms:
             if f in words:
                 return True
             for n in self.lengths:
@@ -278,7 +299,8 @@ class Scorer:
 
     def strongest(self, token: str) -> tuple[float, str]:
         """The strongest stem of a token's words, (0, "") if it has none."""
-        if token.isalpha() and has_plain_form(token) and not self.may_have_stem(token):
+        core = token.strip(EDGES)  # marks at the edges are no part of a word
+        if core.isalpha() and (forms := plain_forms(core)) and not self.may_have_stem(forms):
             return NO_STEM
         best, known, heads = NO_STEM, self.stems, self.heads
         for w in self.token_words(token):
@@ -289,12 +311,8 @@ class Scorer:
         return best
 
     def features(self, text: str | None) -> list[float]:
-        tokens, held = self.tokens(text), self.strength
-        if len(held) >= CACHE_WORDS:
-            held.clear()
-        for token in [t for t in tokens if t not in held]:
-            held[token] = self.strongest(token)
-        top = sorted((x for x, _ in set(map(held.__getitem__, tokens))), reverse=True)[:3]
+        found = set(self.strength.values(self.tokens(text)))
+        top = sorted((x for x, _ in found), reverse=True)[:3]
         top += [0.0] * (3 - len(top))
         return [1.0, top[0], top[1], top[2]]
 
@@ -309,18 +327,17 @@ def stem_counts(rows: DataFrame, scorer: Scorer) -> DataFrame:
     held = rows.sparkSession.sparkContext.broadcast(scorer)
 
     def make():
-        from collections import Counter
-
         def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-            total: Counter = Counter()
+            total: dict[int, Counter] = defaultdict(Counter)
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total.update((s, toxic) for s in held.value.stems_in(text))
-            stems, toxic = zip(*total, strict=True) if total else ((), ())
-            return pa.record_batch([pa.array(stems, pa.string()), pa.array(toxic, pa.int32()), pa.array(list(total.values()), pa.int64())], ["stem", "toxic", "docs"])
+                total[toxic].update(held.value.stems_in(text))
+            found = [(list(c), [toxic] * len(c), list(c.values())) for toxic, c in total.items()]
+            stems, toxic, docs = (list(itertools.chain.from_iterable(x)) for x in zip(*found, strict=True)) if found else ([], [], [])
+            return pa.record_batch([pa.array(stems, pa.string()), pa.array(toxic, pa.int32()), pa.array(docs, pa.int64())], ["stem", "toxic", "docs"])
 
         return count
 
-    return map_batches(rows, "text", "stem string, toxic int, docs long", make).groupBy("stem", "toxic").agg(F.sum("docs").alias("docs"))
+    return map_batches(rows, "text", "stem string, toxic int, docs long", make, 4 * SLICE_BYTES).groupBy("stem", "toxic").agg(F.sum("docs").alias("docs"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", key: str = "doc_id", label_col: str = "toxic", train_docs: int = TRAIN_DOCS) -> Scorer:
