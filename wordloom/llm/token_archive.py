@@ -132,7 +132,7 @@ class PretokenCache:
         if len(self.held) > self.most // 2:
             self.held, self.old = {}, self.held
         held, old = self.held, self.old
-        new = {u for u in set().union(*units) if u not in held}
+        new = set().union(*units).difference(held)
         for u in [u for u in new if u in old]:
             held[u] = old[u]
             new.discard(u)
