@@ -100,7 +100,7 @@ class ChunkedBpe:
         if len(self.ids_of) > CACHE_PRETOKENS // 2:
             self.ids_of, self.old = {}, self.ids_of
         held, old = self.ids_of, self.old
-        new = [p for p in set().union(*pieces) if p not in held]
+        new = set().union(*pieces).difference(held)
         held.update((p, old[p]) for p in new if p in old)
         self.learn([p for p in new if p not in held])
         get = held.__getitem__
