@@ -64,17 +64,20 @@ def exchange_code(c: Column) -> Column:
     return F.coalesce(table[c], c)
 
 
-def exchange_pairs(c: Column) -> Column:
-    """Array of (code, word) from ``code:word/code:word``; a pair without a code gets ``other``; blank words go.
-
-    Of pairs with one code and word, whatever its case, the first stays.
-    """
+def all_exchange_pairs(c: Column) -> Column:
+    """Array of (code, word) from ``code:word/code:word``; a pair without a code gets ``other``; blank words go."""
     parts = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "/"), trim), lambda x: x != "")
     coded = lambda x: F.contains(x, F.lit(":"))
     pair = F.transform(parts, lambda x: F.struct(F.when(coded(x), exchange_code(F.substring_index(x, ":", 1))).otherwise("other").alias("code"), F.when(coded(x), trim(F.regexp_replace(x, "^[^:]*:", ""))).otherwise(x).alias("word")))
-    full = F.filter(pair, lambda x: x["word"] != "")
-    keys = F.transform(full, lambda x: F.concat_ws("|", x["code"], F.lower(x["word"])))
-    return F.transform(F.filter(F.arrays_zip(full.alias("pair"), keys.alias("key"), F.sequence(F.lit(1), F.greatest(F.size(full), F.lit(1))).alias("at")), lambda x: x["pair"].isNotNull() & (F.array_position(keys, x["key"]) == x["at"])), lambda x: x["pair"])
+    return F.filter(pair, lambda x: x["word"] != "")
+
+
+def exchange_pairs(c: Column) -> Column:
+    """``all_exchange_pairs``; of pairs with one code and word, whatever its case, the first stays."""
+    keyed = F.transform(all_exchange_pairs(c), lambda x: F.struct(x.alias("pair"), F.concat_ws("|", x["code"], F.lower(x["word"])).alias("key")))
+    # an array of one binds the keyed pairs to a name, so they are made once
+    first = lambda held: F.filter(held, lambda x, i: F.array_position(held["key"], x["key"]) == i + 1)
+    return F.transform(F.get(F.transform(F.array(keyed), first), 0), lambda x: x["pair"])
 
 
 def normalize_language(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.functions.text import all_empty, exchange_pairs, is_single_word, leading_pos, pos_with_dot, split_lines, tags, trim
+from wordloom.functions.text import all_empty, all_exchange_pairs, is_single_word, leading_pos, pos_with_dot, split_lines, tags, trim
 from wordloom.sources.jdbc import read_source
 
 
@@ -30,7 +30,7 @@ def load_source(spark: SparkSession, dsn: str, table: str = "stardict") -> DataF
 
 def inflections(entries: DataFrame) -> DataFrame:
     """``(form, lemma, form_type)``: for each form the first entry that names it; ``0`` pairs and an entry's own word name no form."""
-    pairs = entries.select(F.col("word").alias("lemma"), "ordinal", F.posexplode(exchange_pairs(F.col("exchange"))).alias("at", "pair"))
+    pairs = entries.select(F.col("word").alias("lemma"), "ordinal", F.posexplode(all_exchange_pairs(F.col("exchange"))).alias("at", "pair"))
     named = pairs.where((F.col("pair.code") != "lemma") & (F.lower("pair.word") != F.lower("lemma"))).select(F.lower("pair.word").alias("form"), "lemma", F.col("pair.code").alias("code"), "ordinal", "at")
     return named.groupBy("form").agg(F.min_by(F.struct("lemma", "code"), F.struct("ordinal", "at")).alias("m")).select("form", F.col("m.lemma").alias("lemma"), F.col("m.code").alias("form_type"))
 
