@@ -250,6 +250,31 @@ def test_image_links_like_brute_force(spark):
     assert {r.image_id: r.class_id for r in image_copies.copies(images).collect()} == up
 
 
+def test_image_copies_without_a_shared_key(spark, monkeypatch):
+    g = np.random.default_rng(7)
+    base = g.normal(size=(20, 64))
+    vectors = [(i, (base[i % 20] + g.normal(size=64) * 0.12).tolist()) for i in range(60)]
+    images = image_copies.render_vectors(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), "vec_id", "embedding").collect()
+    narrow = lambda x: (x[0].astype("<f4").astype(float), x[1])
+    seen = {r.image_id: narrow(image_copies.describe(image_copies.decode(bytes(r.image)))) for r in images}
+    links = [(i, j) for i in seen for j in seen if i < j and image_copies.consensus(seen[i], seen[j]) >= image_copies.VOTES]
+    assert any(not np.isin(image_copies.pair_keys(*seen[i]), image_copies.pair_keys(*seen[j])).any() for i, j in links)
+    up = {i: i for i in seen}
+    for i, j in links:
+        old, new = max(up[i], up[j]), min(up[i], up[j])
+        up = {k: new if c == old else c for k, c in up.items()}
+    monkeypatch.setattr(image_copies, "BLOCK", 16)
+    out = image_copies.copies(spark.createDataFrame(images, "image_id long, image binary"), exhaustive=True)
+    assert out.columns == ["image_id", "n_corners", "class_id"]
+    assert {r.image_id: r.class_id for r in out.collect()} == up
+
+
+def test_first_of_a_key_over_batches(spark):
+    rows = [(i, k) for k, n in ((1, 2), (2, 25_000), (3, 1), (4, 3)) for i in range(k, k + n)]
+    got = image_copies.with_first(image_copies.shared_keys(spark.createDataFrame(rows, "fp long, key long"))).collect()
+    assert sorted(tuple(x) for x in got) == sorted((i, k, k) for i, k in rows if k != 3)
+
+
 def test_image_pairs_of_frequent_words(spark, monkeypatch):
     monkeypatch.setattr(image_copies, "BLOCK", 4)
     keyed = spark.createDataFrame([(i, 1) for i in range(30)] + [(40, 2), (41, 2)], "fp long, key long")

@@ -2,15 +2,17 @@
 
 Images are binary PGM or PPM.  On every level of a pyramid, corners are found by the smaller eigenvalue of the gradient's
 structure matrix; each corner's patch is turned by the direction of its intensity centroid and compared at fixed pairs
-of points, which gives 128 bits.  The tables are keyed by two neighbouring corners of a level: the same quarter of both
-descriptors, the way from one corner to the other and the turn between them, the latter two in eighths and relative to
-the first corner, so that moved, turned and cropped copies keep the key.  One quarter alone is shared by most images.
+of points, which gives 128 bits.  The tables are keyed by two neighbouring corners of a level: the same 40 bits of both
+descriptors, other ones in each table, the way from one corner to the other and the turn between them, the latter two in
+eighths and relative to the first corner, so that moved, turned and cropped copies keep the key.
 Two images that meet are compared: all descriptors within ``NEAR`` bits are matched, matches vote for a turn, a scale
 and a shift, and enough votes for one place them as copies, cropped or edited.
 
-Images with equal pixels are one vertex.  Of the images that share a key, each is first held against the one with the
-smallest fingerprint; then all pairs that share a key and are not linked yet are compared, the members of a frequent
-key in blocks.  So the classes are those of comparing every pair that shares a key.
+Images with equal pixels are one vertex.  An image is first held against one other, of the smallest fingerprints of its
+keys the one that it shares most keys with; then all pairs that share a key and are not linked yet are compared, the
+members of a frequent key in blocks.  So the classes are those of comparing every pair that shares a key.  Copies that
+share none, as strongly edited ones may, are found with ``exhaustive``: all pairs that are not linked yet are compared,
+so the classes are those of comparing every pair; the work grows with the square of the images.
 
 Defined results: null or unreadable images have no corners and are a class of their own; images without corners match
 equal pixels only; a class is named by its smallest id; rows without an id are left out; repeated rows, and rows of one id with several
@@ -38,6 +40,8 @@ RESPONSE = 0.02
 BITS, WORDS = 128, 4
 #: Nearest corners of a level that a corner is paired with, and sectors of ways and turns.
 NEIGHBOURS, SECTORS = 4, 8
+#: Tables of keys, and bits of a descriptor in the keys of each.
+TABLES, KEY_BITS = 12, 40
 #: Hamming distance of a match, and matches that must agree on a place.
 NEAR, VOTES = 16, 6
 #: Members of a key that meet in one block; corners that are compared at once; placements that are tried at once.
@@ -51,6 +55,9 @@ TURN_BIN = 2 * np.pi / TURNS
 HEADER = re.compile(rb"(P[56])(?:\s|#[^\n]*\n)++(\d{1,9})(?:\s|#[^\n]*\n)++(\d{1,9})(?:\s|#[^\n]*\n)++(\d{1,9})\s")
 
 _PAIRS = np.random.default_rng(20240101).normal(0, RADIUS / 2.2, (BITS, 4)).clip(-RADIUS + 1, RADIUS - 1)
+#: A table's bits of a descriptor, as two 64-bit words; tables of one dealing have no bit in common.
+_DEALT = [x[at : at + KEY_BITS] for x in (np.random.default_rng((20240102, k)).permutation(BITS) for k in range(TABLES)) for at in range(0, BITS - KEY_BITS + 1, KEY_BITS)]
+_MASKS = [np.packbits(np.isin(np.arange(BITS), x)).view("<u8") for x in _DEALT[:TABLES]]
 _GRID = np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1]
 _DISC = (_GRID[0] ** 2 + _GRID[1] ** 2 <= RADIUS**2).astype(np.float64)
 
@@ -71,6 +78,15 @@ def encode(grey: np.ndarray) -> bytes:
     return b"P5 %d %d 255\n" % (w, h) + (grey.clip(0, 1) * 255).round().astype(np.uint8).tobytes()
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def _sector(x: np.ndarray) -> np.ndarray:
+    return np.floor(x % (2 * np.pi) / (2 * np.pi) * SECTORS).astype(np.uint64) % np.uint64(SECTORS)
+
+
 def _blur(x: np.ndarray) -> np.ndarray:
     for axis in (0, 1):
         p = np.pad(x, [(1, 1) if a == axis else (0, 0) for a in (0, 1)], mode="edge")
@@ -195,30 +211,27 @@ def consensus(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]
 
 
 def pair_keys(places: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Distinct keys of an image: a quarter of both descriptors of two neighbours, their way and their turn, mixed to 64 bits."""
+    """Distinct keys of an image: a table's bits of both descriptors of two neighbours, their way and their turn, mixed to 64 bits."""
     out = [np.zeros(0, np.uint64)]
-    codes = codes.astype(np.uint64)
     for level in np.unique(places[:, 2]):
         here = np.flatnonzero(places[:, 2] == level)
         near = min(NEIGHBOURS, len(here) - 1)
         if not near:
             continue
-        p, w, pairs = places[here], codes[here], []
+        p, w, pairs = places[here], np.ascontiguousarray(codes[here]).view("<u8"), []
         for start in range(0, len(here), CORNERS):
             apart = np.hypot(p[start : start + CORNERS, None, 0] - p[None, :, 0], p[start : start + CORNERS, None, 1] - p[None, :, 1])
             own = np.arange(len(apart))
             apart[own, own + start] = np.inf
             pairs.append(np.stack([np.repeat(own + start, near), np.argsort(apart, 1, kind="stable")[:, :near].ravel()]))
         a, b = np.unique(np.sort(np.concatenate(pairs, 1), 0), axis=1)
-        for quarter in range(WORDS):
-            # the corner with the smaller quarter comes first, in a copy too
-            swap = w[a, quarter] > w[b, quarter]
+        turned = [_sector(np.arctan2(p[j, 1] - p[i, 1], p[j, 0] - p[i, 0]) - p[i, 3]) * np.uint64(SECTORS) + _sector(p[j, 3] - p[i, 3]) for i, j in ((a, b), (b, a))]
+        for table, (one, two) in enumerate(_MASKS):
+            some = _mixed(_mixed(w[:, 0] & one) ^ (w[:, 1] & two))
+            # the corner with the smaller bits comes first, in a copy too
+            swap = some[a] > some[b]
             i, j = np.where(swap, b, a), np.where(swap, a, b)
-            way = np.arctan2(p[j, 1] - p[i, 1], p[j, 0] - p[i, 0]) - p[i, 3]
-            sector = [np.floor(x % (2 * np.pi) / (2 * np.pi) * SECTORS).astype(np.uint64) % np.uint64(SECTORS) for x in (way, p[j, 3] - p[i, 3])]
-            key = (w[i, quarter] << np.uint64(32) | w[j, quarter]) * np.uint64(0x9E3779B97F4A7C15)
-            key ^= key >> np.uint64(29)
-            out.append((key + (sector[0] * np.uint64(SECTORS) + sector[1]) * np.uint64(WORDS) + np.uint64(quarter)) * np.uint64(0xD6E8FEB86659FD93))
+            out.append(_mixed(_mixed(_mixed(some[i]) ^ some[j]) ^ (np.where(swap, *turned[::-1]) * np.uint64(TABLES) + np.uint64(table))))
     return np.unique(np.concatenate(out)).view(np.int64)
 
 
@@ -244,7 +257,25 @@ def shared_keys(keyed: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(fp), pa.array(key)], ["fp", "key"])
 
     parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return map_in_arrow(keyed.repartition(parts, "key").sortWithinPartitions("key"), run, "fp long, key long")
+    return map_in_arrow(keyed.repartition(parts, "key").sortWithinPartitions("key", "fp"), run, "fp long, key long")
+
+
+def with_first(shared: DataFrame) -> DataFrame:
+    """``(fp, key, u)``: rows in the order of their keys and fps, with the smallest fp of the key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, u = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fp, key = (batch.column(k).to_numpy() for k in range(2))
+            new = np.concatenate([[key[0] != last], key[1:] != key[:-1]])
+            at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+            first = np.where(at < 0, u, fp[at])
+            last, u = key[-1], first[-1]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(first)], ["fp", "key", "u"])
+
+    return map_in_arrow(shared, run, "fp long, key long, u long")
 
 
 def unlinked_pairs(keyed: DataFrame, labels: DataFrame) -> DataFrame:
@@ -260,8 +291,8 @@ def unlinked_pairs(keyed: DataFrame, labels: DataFrame) -> DataFrame:
     return met.select(F.col("fp1").alias("u"), F.col("fp2").alias("v")).distinct()
 
 
-def copies(images: DataFrame, id_col: str = "image_id", image_col: str = "image") -> DataFrame:
-    """``(image_id, n_corners, class_id, n_links)``: links are verified comparisons of the image's pixels with others."""
+def copies(images: DataFrame, id_col: str = "image_id", image_col: str = "image", exhaustive: bool = False) -> DataFrame:
+    """``(image_id, n_corners, class_id)``; ``exhaustive`` also compares all pairs of different classes that share no key."""
     rows = images.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(image_col).cast("binary").alias("image"))
 
     def make():
@@ -288,9 +319,9 @@ def copies(images: DataFrame, id_col: str = "image_id", image_col: str = "image"
 
         return run
 
-    keyed = materialise(shared_keys(map_batches(seen.select("fp", "places", "codes"), "codes", "fp long, key long", words)), "images-keys")
-    centres = keyed.groupBy("key").agg(F.min("fp").alias("u"), F.count("*").alias("g")).where("g > 1").select("key", "u")
-    pairs = keyed.join(centres, "key").where("fp <> u").select("u", F.col("fp").alias("v")).distinct()
+    keyed = materialise(with_first(shared_keys(map_batches(seen.select("fp", "places", "codes"), "codes", "fp long, key long", words))), "images-keys")
+    shared = keyed.where("fp <> u").groupBy("u", F.col("fp").alias("v")).agg(F.count("*").alias("n"))
+    pairs = materialise(shared.groupBy("v").agg(F.max(F.struct("n", "u")).alias("most")).select("most.u", "v"), "images-pairs")
     side = lambda x: seen.select(F.col("fp").alias(x), F.col("places").alias(f"p{x}"), F.col("codes").alias(f"c{x}"))
 
     def compare():
@@ -312,20 +343,25 @@ def copies(images: DataFrame, id_col: str = "image_id", image_col: str = "image"
         return materialise(map_batches(both, "pu", "u long, v long", compare), "images-links")
 
     links = verified(pairs)
-    links = links.union(verified(unlinked_pairs(keyed, connected_components(links)).join(pairs, ["u", "v"], "left_anti")))
+    more = unlinked_pairs(keyed.select("fp", "key"), connected_components(links)).join(pairs, ["u", "v"], "left_anti")
+    if exhaustive:
+        more = materialise(more, "images-pairs")
+    links = links.union(verified(more))
+    if exhaustive:
+        every = unlinked_pairs(seen.where(F.col("n") >= VOTES).select("fp", F.lit(0).cast("long").alias("key")), connected_components(links))
+        links = links.union(verified(every.join(pairs.union(more), ["u", "v"], "left_anti")))
     labels = connected_components(links)
-    degree = links.select("u").union(links.select("v")).groupBy(F.col("u").alias("fp")).agg(F.count("*").alias("n_links"))
     named = first.join(labels.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "rep", "m", F.coalesce("c", "fp").alias("label"))
     smallest = named.groupBy("label").agg(F.min("rep").alias("class_id"))
-    facts = named.join(smallest, "label").join(degree, "fp", "left").join(seen.select("fp", "n"), "fp", "left").select("fp", "m", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n")
+    facts = named.join(smallest, "label").join(seen.select("fp", "n"), "fp", "left").select("fp", "m", "class_id", "n")
     facts = materialise(facts, "images-facts")
     # pixels that a thousandth of all images share: a thousand of them at most
     many = prints.count() / 1000
     heavy = F.broadcast(facts.where(F.col("m") > many).drop("m"))
     real = prints.where("not blank").select("id", "fp")
     light = real.join(heavy.select("fp"), "fp", "left_anti").join(facts.where(F.col("m") <= many).drop("m"), "fp")
-    known = real.join(heavy, "fp").unionByName(light).select(F.col("id").alias("image_id"), F.col("n").alias("n_corners"), "class_id", "n_links")
-    blank = prints.where("blank").select(F.col("id").alias("image_id"), F.lit(0).cast("long").alias("n_corners"), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    known = real.join(heavy, "fp").unionByName(light).select(F.col("id").alias("image_id"), F.col("n").alias("n_corners"), "class_id")
+    blank = prints.where("blank").select(F.col("id").alias("image_id"), F.lit(0).cast("long").alias("n_corners"), F.col("id").alias("class_id"))
     return known.unionByName(blank)
 
 
