@@ -2,7 +2,7 @@
 
 Images are binary PGM or PPM.  On every level of a pyramid, corners are found by the smaller eigenvalue of the gradient's
 structure matrix; each corner's patch is turned by the direction of its intensity centroid and compared at fixed pairs
-of points, which gives 128 bits.  The tables are keyed by two neighbouring corners of a level: the same 40 bits of both
+of points, which gives 128 bits.  The tables are keyed by two neighbouring corners of a level: the same 36 bits of both
 descriptors, other ones in each table, the way from one corner to the other and the turn between them, the latter two in
 eighths and relative to the first corner, so that moved, turned and cropped copies keep the key.
 Two images that meet are compared: all descriptors within ``NEAR`` bits are matched, matches vote for a turn, a scale
@@ -41,7 +41,7 @@ BITS, WORDS = 128, 4
 #: Nearest corners of a level that a corner is paired with, and sectors of ways and turns.
 NEIGHBOURS, SECTORS = 4, 8
 #: Tables of keys, and bits of a descriptor in the keys of each.
-TABLES, KEY_BITS = 12, 40
+TABLES, KEY_BITS = 12, 36
 #: Hamming distance of a match, and matches that must agree on a place.
 NEAR, VOTES = 16, 6
 #: Members of a key that meet in one block; corners that are compared at once; placements that are tried at once.
